@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quillon.llm import tokens
+from pyspark.sql import functions as F
+
+from quillon.llm import mixing, tokens, urls
 
 #: Vocabulary files are never copied here; this is where the public ones are installed.
 TOKENIZERS = "/opt/tokenizers"
@@ -18,6 +20,18 @@ def op1_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.token_output(table(spark, sf_dir, "documents"), f"{TOKENIZERS}/word_bpe_49k.json", end_id=2)
 
 
-QUERIES = {"op1_token_output": op1_token_output}
+URL_RULES = [("block", "com/en/"), ("allow", "example.com/en/7"), ("allow", "net/de/"), ("block", "example.net/de/8"), ("block", "org/es/")]
+
+
+def op6_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urls.judge(table(spark, sf_dir, "pages"), URL_RULES)
+
+
+def op8_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = mixing.decide(table(spark, sf_dir, "documents").select("doc_id", "text", "source"))
+    return rows.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"))
+
+
+QUERIES = {"op1_token_output": op1_token_output, "op6_url_filter": op6_url_filter, "op8_mix_sources": op8_mix_sources}
 
 ORACLES: dict[str, str] = {}
