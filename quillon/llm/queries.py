@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from pyspark.sql import functions as F
 
-from quillon.llm import mixing, tokens, urls
+from quillon.llm import mixing, neardup, tokens, toxicity, urls
 
 #: Vocabulary files are never copied here; this is where the public ones are installed.
 TOKENIZERS = "/opt/tokenizers"
@@ -20,6 +20,15 @@ def op1_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.token_output(table(spark, sf_dir, "documents"), f"{TOKENIZERS}/word_bpe_49k.json", end_id=2)
 
 
+def toxicity_model(spark: SparkSession, sf_dir: str) -> toxicity.Model:
+    return toxicity.train(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), ~toxicity.held_out("doc_id"))
+
+
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scored = toxicity.score(table(spark, sf_dir, "documents"), toxicity_model(spark, sf_dir))
+    return scored.select("doc_id", toxicity.held_out("doc_id").alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
 URL_RULES = [("block", "com/en/"), ("allow", "example.com/en/7"), ("allow", "net/de/"), ("block", "example.net/de/8"), ("block", "org/es/")]
 
 
@@ -32,6 +41,10 @@ def op8_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"))
 
 
-QUERIES = {"op1_token_output": op1_token_output, "op6_url_filter": op6_url_filter, "op8_mix_sources": op8_mix_sources}
+def op10_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.near_duplicates(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_token_output, op3_toxicity, op6_url_filter, op8_mix_sources, op10_near_duplicates)}
 
 ORACLES: dict[str, str] = {}
