@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from pyspark.sql import functions as F
 
-from quillon.llm import mixing, neardup, tokens, toxicity, urls
+from quillon.llm import decontaminate, mixing, neardup, pii, preferences, tokens, toxicity, urls, vectors, warc
 
 #: Vocabulary files are never copied here; this is where the public ones are installed.
 TOKENIZERS = "/opt/tokenizers"
@@ -20,6 +20,10 @@ def op1_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.token_output(table(spark, sf_dir, "documents"), f"{TOKENIZERS}/word_bpe_49k.json", end_id=2)
 
 
+def op2_near_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vectors.near_vectors(table(spark, sf_dir, "embeddings"))
+
+
 def toxicity_model(spark: SparkSession, sf_dir: str) -> toxicity.Model:
     return toxicity.train(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), ~toxicity.held_out("doc_id"))
 
@@ -29,6 +33,15 @@ def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", toxicity.held_out("doc_id").alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
 
 
+def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op5_preferences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    conversations = table(spark, sf_dir, "conversations")
+    return preferences.format_pairs(conversations, preferences.neighbours(conversations))
+
+
 URL_RULES = [("block", "com/en/"), ("allow", "example.com/en/7"), ("allow", "net/de/"), ("block", "example.net/de/8"), ("block", "org/es/")]
 
 
@@ -36,15 +49,43 @@ def op6_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.judge(table(spark, sf_dir, "pages"), URL_RULES)
 
 
+def op7_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.digest(table(spark, sf_dir, "documents"))
+
+
 def op8_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = mixing.decide(table(spark, sf_dir, "documents").select("doc_id", "text", "source"))
     return rows.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"))
 
 
+def op9_warc_transactions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    captures = warc.round_trip(table(spark, sf_dir, "pages"), with_payload=False)
+    return captures.select(
+        F.col("metadata.page_id").alias("page_id"),
+        F.col("metadata.payload_bytes").alias("payload_bytes"),
+        F.col("response.payload_digest").alias("payload_digest"),
+        F.col("response.type").alias("record_type"),
+        F.col("metadata.refers_to").alias("refers_to"),
+        F.col("request.id").alias("request_id"),
+    )
+
+
 def op10_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicates(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_token_output, op3_toxicity, op6_url_filter, op8_mix_sources, op10_near_duplicates)}
+_ALL = (
+    op1_token_output,
+    op2_near_vectors,
+    op3_toxicity,
+    op4_decontaminate,
+    op5_preferences,
+    op6_url_filter,
+    op7_personal_data,
+    op8_mix_sources,
+    op9_warc_transactions,
+    op10_near_duplicates,
+)
+QUERIES = {f.__name__: f for f in _ALL}
 
 ORACLES: dict[str, str] = {}
