@@ -6,16 +6,20 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from quillon.plans import portfolio
+
 Query = Callable[[SparkSession, str], DataFrame]
+BOOKS = (portfolio.book,)
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/lineitem.parquet").groupBy("l_returnflag").count()
+    """Annual recovery by cohort and age band, small cells withheld."""
+    return portfolio.recovery_by_cohort_band(spark, sf_dir)
 
 
 def queries() -> dict[str, Query]:
-    return {}
+    return {name: q for book in BOOKS for name, q in book.queries.items()}
 
 
 def oracles() -> dict[str, str]:
-    return {}
+    return {name: text for book in BOOKS for name, text in book.oracles.items()}
