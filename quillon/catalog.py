@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quillon.plans import portfolio
+from quillon.plans import analytics, portfolio, registry, series
 
 Query = Callable[[SparkSession, str], DataFrame]
-BOOKS = (portfolio.book,)
+BOOKS = (portfolio.book, analytics.book, series.book, registry.book)
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
