@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quillon.plans import analytics, portfolio, registry, series
+from quillon.plans import analytics, portfolio, registry, series, statistics, streams, texts
 
 Query = Callable[[SparkSession, str], DataFrame]
-BOOKS = (portfolio.book, analytics.book, series.book, registry.book)
+BOOKS = (portfolio.book, analytics.book, series.book, registry.book, texts.book, statistics.book, streams.book)
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -7,6 +7,7 @@ from collections.abc import Sequence
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 _ACCENTED = "áàâãäåéèêëíìîïóòôõöúùûüçñýÿÁÀÂÃÄÅÉÈÊËÍÌÎÏÓÒÔÕÖÚÙÛÜÇÑÝ"
 _PLAIN = "aaaaaaeeeeiiiiooooouuuucnyyAAAAAAEEEEIIIIOOOOOUUUUCNY"
@@ -17,13 +18,13 @@ def fold_accents(text: Column) -> Column:
     return F.translate(text, _ACCENTED, _PLAIN)
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def fold_nfkd(text: pd.Series) -> pd.Series:
     """Compatibility decomposition without combining marks, for all scripts."""
     return text.str.normalize("NFKD").str.replace(r"[̀-ͯ]", "", regex=True)
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def unescape_html(text: pd.Series) -> pd.Series:
     import html
 
