@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import atexit
 import tempfile
 import uuid
 import zipfile
@@ -13,8 +14,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Rows and bytes of one Arrow batch handed to a Python worker; bounds a worker's memory whatever the texts are.
-ARROW_ROWS = 1000
-ARROW_BYTES = 16 << 20
+ARROW_ROWS = 500
+ARROW_BYTES = 4 << 20
 
 
 def ship(spark: SparkSession) -> None:
@@ -31,11 +32,11 @@ def ship(spark: SparkSession) -> None:
     context._quillon_shipped = True
 
 
-def tune(spark: SparkSession) -> None:
+def tune(spark: SparkSession, rows: int = ARROW_ROWS, size: int = ARROW_BYTES) -> None:
     """Bound Arrow batches by rows and by bytes, so that very long texts don't swell a worker; ship the package."""
     ship(spark)
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(ARROW_BYTES))
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(size))
 
 
 def workdir(spark: SparkSession) -> str:
@@ -48,8 +49,19 @@ def workdir(spark: SparkSession) -> str:
 
 
 def fresh(spark: SparkSession, name: str) -> str:
-    """A new path in the shared folder."""
-    return f"{workdir(spark)}/quillon/{uuid.uuid4().hex}/{name}"
+    """A new path in the shared folder, below one for the application that is deleted when its driver exits in order."""
+    context = spark.sparkContext
+    root = f"{workdir(spark)}/quillon/{context.applicationId}"
+    if getattr(context, "_quillon_root", None) != root:
+        context._quillon_root = root
+        atexit.register(_delete, context, root)
+    return f"{root}/{uuid.uuid4().hex}/{name}"
+
+
+def _delete(context, root: str) -> None:
+    if context._jsc is not None:  # not stopped yet
+        path = context._jvm.org.apache.hadoop.fs.Path(root)
+        path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def materialize(df: DataFrame, name: str) -> DataFrame:

@@ -16,12 +16,15 @@ the order of their ids' bytes. An empty table gives no shard and an empty result
 from __future__ import annotations
 
 import functools
+import itertools
 import uuid
 import zlib
+from array import array
 from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -31,40 +34,97 @@ from quillon.llm.common import filesystem, fresh, publish, rows_of, tune
 SEQUENCE = 2048
 BATCH = 128
 #: Distinct words whose ids a worker remembers at a time.
-WORDS = 300_000
+WORDS = 1_000_000
 
 
 class Encoder:
     """Ids of texts, put together from the ids of their words.
 
-    The tokenizer drops white space and never joins across it, so a text's ids are those of its words in order; words
-    repeat, so remembering them is about three times as fast as encoding texts. `whole` turns that off for
-    tokenizers that do join across white space.
+    A tokenizer that drops white space and never joins across it gives a text the ids of its words in order; words
+    repeat, so remembering them is several times as fast as encoding texts. New words of
+    letters a-z go to the tokenizer's model as they are, others are encoded many at a time, a special token between them.
+    Whether that gives the same ids, whether A-Z may be lower-cased first, and whether a last comma or full stop is a token of
+    its own, is tried out on the tokenizer. `whole` encodes texts as they are, for tokenizers of other kinds.
     """
 
     def __init__(self, path: str, end_id: int, whole: bool = False):
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.whole, self.known = Tokenizer.from_file(path), whole, {}
+        self.tokenizer, self.known = Tokenizer.from_file(path), {}
         self.kind = np.dtype("<u2" if max(self.tokenizer.get_vocab_size(), end_id + 1) <= 1 << 16 else "<u4")
         self.end = np.array([end_id], self.kind).tobytes()
-
-    def _encode(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, self.kind).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-
-    def __call__(self, raw: list[bytes]) -> list[bytes]:
+        added = {k: v.content for k, v in self.tokenizer.get_added_tokens_decoder().items()}
+        self.mark = next(iter(sorted(added.items())), None)
+        self.special = tuple(x.encode() for x in added.values())
+        alike = lambda a, *b: self._ids(a) == [i for x in b for i in self._ids(x)]
+        self.whole = whole or not self.mark or not alike("so \n\t9 it,\x0b\r is.", "so", "9", "it,", "is.")
+        self.lower = alike("It Is SO", "it is so")
+        probe = ["a", "it", "hello", "zqxjkvb", "internationalisation", "e" * 40]
+        self.direct = self.lower and not self.whole and all([t.id for t in self.tokenizer.model.tokenize(w)] == self._ids(w) for w in probe)
+        self.stops = b",." if alike("so, 9. it.", "so", ",", "9", ".", "it", ".") else b""
+
+    def _ids(self, text: str) -> list[int]:
+        return self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids
+
+    def _bytes(self, text: str) -> bytes:
+        return np.array(self._ids(text), self.kind).tobytes()
+
+    def _learn(self, new: set[bytes]) -> None:
+        known, stops, plain, ended, kind = self.known, self.stops, [], [], self.kind.char
+        tokenize = self.tokenizer.model.tokenize if self.direct else None
+        for w in new:
+            if tokenize and w.isalpha():
+                known[w] = array(kind, [t.id for t in tokenize(w.decode())]).tobytes()
+            elif w[-1] in stops and w[-2:-1].isalnum():
+                ended.append(w)
+            elif b"<" in w and any(x in w.lower() for x in self.special):
+                known[w] = self._bytes(w.decode())
+            else:
+                plain.append(w)
+        for w in {x for w in ended for x in (w[:-1], w[-1:]) if x not in known}:
+            if tokenize and w.isalpha():
+                known[w] = array(kind, [t.id for t in tokenize(w.decode())]).tobytes()
+            elif b"<" in w and any(x in w.lower() for x in self.special):
+                known[w] = self._bytes(w.decode())
+            elif w not in new:
+                plain.append(w)
+        number, mark = self.mark
+        for i in range(0, len(plain), 1000):
+            part = plain[i : i + 1000]
+            ids = np.array(self._ids(mark.join([w.decode() for w in part])), self.kind)
+            cuts = np.flatnonzero(ids == number)
+            size, raw = self.kind.itemsize, ids.tobytes()
+            known.update(zip(part, [raw[a:b] for a, b in zip([0, *((cuts + 1) * size).tolist()], [*(cuts * size).tolist(), len(raw)], strict=True)], strict=True))
+        known.update((w, known[w[:-1]] + known[w[-1:]]) for w in ended)
+
+    def __call__(self, texts: pa.Array) -> list[bytes]:
+        """Ids of each text and the end id, as bytes; null: just the end id."""
+        texts = texts.cast(pa.large_string()).fill_null("")
         if self.whole:
-            return [x + self.end for x in self._encode([r.decode() for r in raw])]
-        if len(self.known) > WORDS:
-            self.known.clear()
-        known, split = self.known, [r.split() for r in raw]
-        new = list({w for ws in split for w in ws if w not in known})
-        known.update(zip(new, self._encode([w.decode() for w in new]), strict=True))
-        out = [b"".join(map(known.__getitem__, ws)) + self.end for ws in split]
+            return [self._bytes(t) + self.end for t in texts.to_pylist()]
+        if len(self.known) > WORDS:  # those that came first are mostly frequent
+            self.known = dict(itertools.islice(self.known.items(), WORDS // 4))
+        # words are split and told apart in Arrow; Python sees each distinct word of a batch once
+        lowered = pc.if_else(pc.match_substring(texts, "<|"), texts, pc.ascii_lower(texts)) if self.lower else texts
+        split = pc.ascii_split_whitespace(lowered)
+        coded = split.flatten().dictionary_encode()
+        distinct, which = coded.dictionary.cast(pa.large_binary()).to_pylist(), coded.indices.to_numpy()
+        self.known[b""] = b""
+        if new := {w for w in distinct if w not in self.known}:
+            self._learn(new)
+        ids = list(map(self.known.__getitem__, distinct))
         for w in new:
             if len(w) > 64:
-                del known[w]
-        return out
+                del self.known[w]
+        size = self.kind.itemsize
+        pool, sizes = np.frombuffer(b"".join(ids), self.kind), np.fromiter(map(len, ids), np.int64, len(ids)) // size
+        begin = np.cumsum(sizes) - sizes
+        per_word = sizes[which]
+        stop = np.cumsum(per_word)
+        total = int(stop[-1]) if len(stop) else 0
+        flat = pool[np.repeat(begin[which] - (stop - per_word), per_word) + np.arange(total)].tobytes()
+        ends = np.concatenate([[0], stop])[np.asarray(split.offsets) - split.offsets[0].as_py()] * size
+        return [flat[a:b] + self.end for a, b in itertools.pairwise(ends.tolist())]
 
 
 @functools.lru_cache(maxsize=2)
@@ -75,14 +135,9 @@ def encoder(path: str, end_id: int, whole: bool) -> Encoder:
     return Encoder(path, end_id, whole)
 
 
-def binaries(column: pa.Array) -> list[bytes]:
-    """UTF-8 bytes of a string column; null: empty."""
-    return [x or b"" for x in column.cast(pa.large_binary()).to_pylist()]
-
-
 def encode(docs: DataFrame, tokenizer: str, end_id: int = 2, whole: bool = False, bounds: list[int] | None = None) -> DataFrame:
     """(shard, doc_id, ids): little-endian ids of every text and the end id; shard is the range of `bounds` with doc_id."""
-    tune(docs.sparkSession)
+    tune(docs.sparkSession, rows=2000, size=8 << 20)  # the more texts in a batch, the fewer distinct words to look up
     edges = np.array(bounds or [], np.int64)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -91,7 +146,7 @@ def encode(docs: DataFrame, tokenizer: str, end_id: int = 2, whole: bool = False
             ids = b.column(0)
             known = ids.fill_null(np.iinfo(np.int64).min).to_numpy(zero_copy_only=False)
             shard = pa.array(np.searchsorted(edges, known, side="left").astype(np.int32))
-            yield pa.RecordBatch.from_arrays([shard, ids, pa.array(of(binaries(b.column(1))), pa.binary())], ["shard", "doc_id", "ids"])
+            yield pa.RecordBatch.from_arrays([shard, ids, pa.array(of(b.column(1)), pa.binary())], ["shard", "doc_id", "ids"])
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "shard int, doc_id long, ids binary")
 
@@ -125,7 +180,7 @@ class _Shard:
 
     def _flush(self, last: bool) -> None:
         a = np.concatenate(self.held) if self.held else np.zeros(0, self.kind)
-        n = -(-len(a) // self.length) if last else len(a) // self.length
+        n = -(-len(a) // self.length) if last else len(a) // (self.length * BATCH) * BATCH  # all batches but the last are full
         for i in range(0, n, BATCH):
             part = a[i * self.length : (i + BATCH) * self.length]
             k = -(-len(part) // self.length)
