@@ -14,7 +14,8 @@ with an earlier leader, for `rounds` rounds or until nothing is left over. No gr
 
 Null and empty texts, and texts of white space alone, have empty sets and link with nothing. Documents with less than
 five words have one shingle, the sequence of all. Rows with a null doc_id are returned with a null component, not
-kept. Rows with the same doc_id and text are one document; each gets its row. An empty table gives an empty result.
+kept. Rows with the same doc_id and text are one document; each gets its row. Joins of texts with ids ask for a merge join:
+how many documents have a near copy grows with the input, so these plans are the same at every size. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -156,7 +157,7 @@ def near_duplicates(docs: DataFrame, percent: int = 85, rounds: int = 4) -> Data
     shared = buckets.groupBy("bucket").agg(F.count("*").alias("n"), F.min("id").alias("leader")).where("n > 1")
     members = materialize(buckets.join(shared.select("bucket", "leader"), "bucket"), "members")
     involved = members.select("id").distinct()
-    texts = docs.select(F.col("doc_id").cast("long").alias("id"), F.col("text").cast("string").alias("text")).join(involved, "id", "left_semi")
+    texts = docs.select(F.col("doc_id").cast("long").alias("id"), F.col("text").cast("string").alias("text")).join(involved.hint("merge"), "id", "left_semi")
     texts = materialize(texts.groupBy("id").agg(F.min("text").alias("text")) if _repeated(all_rows) else texts, "texts")
 
     pairs = members.where("id != leader").select(F.col("leader").alias("a"), F.col("id").alias("b")).distinct()
@@ -198,7 +199,7 @@ def keep_one(docs: DataFrame, percent: int = 85) -> DataFrame:
     """One document of each group, with all columns: that with the smallest doc_id; one row of equal doc_ids."""
     own = materialize(near_duplicates(docs, percent), "near")
     dropped = own.where(~F.col("kept") & F.col("doc_id").isNotNull()).select("doc_id").distinct()
-    kept = docs.join(dropped, "doc_id", "left_anti").select(docs.columns)
+    kept = docs.join(dropped.hint("merge"), "doc_id", "left_anti").select(docs.columns)
     if _repeated(own):
         kept = kept.dropDuplicates(["doc_id"])
     return kept
