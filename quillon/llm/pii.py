@@ -48,8 +48,8 @@ ROUNDS, RATE = 40, 0.3
 
 
 def located(text: Column, pattern: str, maybe: Column) -> Column:
-    """array<struct<start, stop, value, before, after>> of the matches; start and stop in code points, stop exclusive."""
-    empty = F.array().cast("array<struct<start:long,stop:long,value:string,before:string,after:string>>")
+    """array<struct<gap, start, stop, value, before, after>> of the matches; start and stop in code points, stop exclusive; gap since the match before."""
+    empty = F.array().cast("array<struct<gap:int,start:long,stop:long,value:string,before:string,after:string>>")
     found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     pieces = F.split(text, pattern, -1)
     zipped = F.arrays_zip(found.alias("m"), pieces.alias("p"), F.slice(pieces, 2, F.size(pieces)).alias("q"))
@@ -59,7 +59,7 @@ def located(text: Column, pattern: str, maybe: Column) -> Column:
     def step(acc: Column, z: Column) -> Column:
         begin = acc["at"] + F.length(z["p"])
         end = begin + F.length(z["m"])
-        span = F.struct(begin.cast("long").alias("start"), end.cast("long").alias("stop"), z["m"].alias("value"), F.right(z["p"], F.lit(24)).alias("before"), F.left(F.coalesce(z["q"], F.lit("")), F.lit(2)).alias("after"))
+        span = F.struct(F.length(z["p"]).alias("gap"), begin.cast("long").alias("start"), end.cast("long").alias("stop"), z["m"].alias("value"), F.right(z["p"], F.lit(24)).alias("before"), F.left(F.coalesce(z["q"], F.lit("")), F.lit(2)).alias("after"))
         return F.struct(end.cast("long").alias("at"), F.concat(acc["out"], F.array(span)).alias("out"))
 
     return F.when(maybe, F.aggregate(zipped, start, step, lambda acc: acc["out"])).otherwise(empty)
@@ -111,8 +111,17 @@ def bits(kind: int, c: Column) -> Column:
     return sum((F.when(F.coalesce(f, F.lit(False)), 1 << i).otherwise(0) for i, f in enumerate(flags)), F.lit(0)).cast("int")
 
 
+def _mask(kind: str) -> Column:
+    """A character for each code point up to the last base match of the kind: b in a valid match, t in a dropped one, else a full stop."""
+    part = lambda c: F.concat(F.repeat(F.lit("."), c["gap"]), F.repeat(F.when(VALID[kind](c["value"]), "b").otherwise("t"), (c["stop"] - c["start"]).cast("int")))
+    return F.array_join(F.transform(f"b_{kind}", part), "")
+
+
 def candidates(docs: DataFrame) -> DataFrame:
-    """(doc_id, fold, base, proposed): base are array<struct<start, rank, stop>>, proposed have bits and label too."""
+    """(doc_id, fold, base, proposed): base are array<struct<start, rank, stop>>, proposed have bits, label and free too.
+
+    Whether a candidate meets base matches is read off masks, so a text full of numbers costs no comparison of all pairs.
+    """
     rows = docs.select("doc_id", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     for prefix, patterns in (("b", BASE), ("l", LOOSE)):
         rows = rows.withColumns({f"{prefix}_{k}": located(F.col("text"), p, maybe(F.col("text"))) for k, (p, maybe) in patterns.items()})
@@ -122,22 +131,23 @@ def candidates(docs: DataFrame) -> DataFrame:
         valid = F.filter(f"b_{kind}", lambda c: VALID[kind](c["value"]))
         return F.transform(valid, lambda c: F.struct(c["start"].alias("start"), F.lit(rank).alias("rank"), c["stop"].alias("stop")))
 
-    rows = rows.withColumn("base", F.array_sort(F.concat(*(checked(i, k) for i, k in enumerate(KINDS)))))
+    base = F.array_sort(F.concat(*(checked(i, k) for i, k in enumerate(KINDS))))
+    rows = rows.withColumns({"base": base} | {f"m_{k}": _mask(k) for k in KINDS})
 
     def proposed(i: int, kind: str, source: str) -> Column:
         def one(c: Column) -> Column:
-            hits = F.exists("base", lambda s: (s["start"] < c["stop"]) & (c["start"] < s["stop"]) & (s["rank"] == i))
-            other = F.exists("base", lambda s: (s["start"] < c["stop"]) & (c["start"] < s["stop"]))
-            tried = F.exists(f"b_{kind}", lambda s: (s["start"] < c["stop"]) & (c["start"] < s["stop"]))
-            label = F.when(hits, 1).when(other | tried, 0).otherwise(-1)
-            return F.struct(c["start"].alias("start"), F.lit(i).alias("rank"), c["stop"].alias("stop"), bits(i, c).alias("bits"), label.alias("label"))
+            under = lambda k: F.substring(F.col(f"m_{k}"), (c["start"] + 1).cast("int"), (c["stop"] - c["start"]).cast("int"))
+            own, free = under(kind), F.lit(True)
+            for k in KINDS:
+                free = free & ~F.contains(under(k), F.lit("b"))
+            label = F.when(F.contains(own, F.lit("b")), 1).when(~free | F.contains(own, F.lit("t")), 0).otherwise(-1)
+            return F.struct(c["start"].alias("start"), F.lit(i).alias("rank"), c["stop"].alias("stop"), bits(i, c).alias("bits"), label.alias("label"), free.alias("free"))
 
-        return F.transform(source, one)
+        return F.transform(F.filter(source, lambda c: c["stop"] - c["start"] >= 7), one)
 
     # what the base rules tried is a candidate as well: dropped matches are the negative examples
     every = F.concat(*(proposed(i, k, f"{p}_{k}") for i, k in enumerate(KINDS) for p in "bl"))
-    long_enough = F.filter(every, lambda c: (c["stop"] - c["start"] >= 7))
-    return rows.select("doc_id", F.pmod(F.xxhash64("doc_id", F.lit(11)), F.lit(4)).alias("fold"), "base", F.array_distinct(F.array_sort(long_enough)).alias("proposed"))
+    return rows.select("doc_id", F.pmod(F.xxhash64("doc_id", F.lit(11)), F.lit(4)).alias("fold"), "base", F.array_sort(every).alias("proposed"))
 
 
 def boost(rows: list[tuple[int, int, int]], rounds: int = ROUNDS, rate: float = RATE) -> dict[int, float]:
@@ -197,11 +207,12 @@ def thresholds(score: dict[int, float], held: list[tuple[int, int, int]], precis
 
 
 def selected(found: DataFrame) -> list[int]:
-    """Bit patterns whose candidates are redacted, learned from the examples among all candidates."""
-    counts = found.select("fold", F.explode("proposed").alias("c")).where("c.label >= 0").groupBy((F.col("fold") == 0).alias("held"), "c.bits", "c.label").count().collect()
-    score = boost([(r["bits"], r["label"], r["count"]) for r in counts if not r["held"]])
-    cut = thresholds(score, [(r["bits"], r["label"], r["count"]) for r in counts if r["held"]])
-    return [b for b, s in score.items() if b & 3 in cut and s >= max(cut[b & 3], 0.0)]
+    """Bit patterns, of those that candidates have, that are redacted; learned from the examples among all candidates."""
+    counts = found.select("fold", F.explode("proposed").alias("c")).groupBy((F.col("fold") == 0).alias("held"), "c.bits", "c.label").count().collect()
+    examples = [r for r in counts if r["label"] >= 0]
+    score = boost([(r["bits"], r["label"], r["count"]) for r in examples if not r["held"]])
+    cut = thresholds(score, [(r["bits"], r["label"], r["count"]) for r in examples if r["held"]])
+    return sorted(b for b in {r["bits"] for r in counts} if b & 3 in cut and score[b] >= max(cut[b & 3], 0.0))
 
 
 def _text(spans: str) -> Column:
@@ -213,7 +224,7 @@ def find(docs: DataFrame) -> DataFrame:
     """(doc_id, base, spans): sorted arrays of struct<start, rank, stop>; rank is the kind's place in KINDS."""
     found = materialize(candidates(docs), "candidates")
     patterns = F.lit(selected(found) or [-1])
-    added = F.filter("proposed", lambda c: F.array_contains(patterns, c["bits"]) & ~F.exists("base", lambda s: (s["start"] < c["stop"]) & (c["start"] < s["stop"])))
+    added = F.filter("proposed", lambda c: c["free"] & F.array_contains(patterns, c["bits"]))
     empty = F.array().cast("array<struct<start:long,rank:int,stop:long>>")
 
     def take(acc: Column, c: Column) -> Column:

@@ -66,7 +66,6 @@ def op9_warc_transactions(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("response.payload_digest").alias("payload_digest"),
         F.col("response.type").alias("record_type"),
         F.col("metadata.refers_to").alias("refers_to"),
-        F.col("request.id").alias("request_id"),
     )
 
 
@@ -88,4 +87,24 @@ _ALL = (
 )
 QUERIES = {f.__name__: f for f in _ALL}
 
-ORACLES: dict[str, str] = {}
+_UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+#: Smallest id reachable over the undirected links (a, b), for ids from `nodes`.
+_REACH = """both AS (SELECT a, b FROM links UNION SELECT b, a FROM links),
+reach(id, m) AS (SELECT id, id FROM nodes UNION SELECT both.b, reach.m FROM reach JOIN both ON both.a = reach.id WHERE reach.m < both.b),
+least_id AS (SELECT id, min(m) AS component_id FROM reach GROUP BY id)"""
+
+ORACLES: dict[str, str] = {
+    "op2_near_vectors": f"""WITH RECURSIVE v AS (SELECT vec_id AS id, CAST(embedding AS DOUBLE[]) AS x FROM embeddings), u AS (SELECT id, x, sqrt(list_dot_product(x, x)) AS size FROM v),
+nodes AS (SELECT id FROM u), links AS (SELECT p.id AS a, q.id AS b FROM u p JOIN u q ON p.id < q.id WHERE list_dot_product(p.x, q.x) >= 0.9 * p.size * q.size), {_REACH},
+n AS (SELECT a AS id, count(*) AS n FROM both GROUP BY a)
+SELECT u.id AS vec_id, coalesce(n.n, 0) AS n_links, component_id, u.id = component_id AS kept FROM u JOIN least_id USING (id) LEFT JOIN n USING (id)""",
+    "op9_warc_transactions": """WITH p AS (SELECT page_id, octet_length(encode(coalesce(html, ''))) AS payload_bytes, sha256(coalesce(html, '')) AS payload_digest FROM pages),
+f AS (SELECT *, min(page_id) OVER (PARTITION BY payload_digest) AS first_id FROM p)
+SELECT page_id, CAST(payload_bytes AS BIGINT) AS payload_bytes, payload_digest, CASE WHEN payload_bytes >= 100 AND first_id < page_id THEN 'revisit' ELSE 'response' END AS record_type, CASE WHEN payload_bytes >= 100 AND first_id < page_id THEN first_id END AS refers_to FROM f""",
+    "op10_near_duplicates": f"""WITH RECURSIVE w AS (SELECT doc_id AS id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}'), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS w FROM documents),
+s AS (SELECT DISTINCT id, unnest(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')] ELSE list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i+4], ' ')) END) AS s FROM w),
+c AS (SELECT id, count(*) AS n FROM s GROUP BY id), nodes AS (SELECT id FROM w),
+k AS (SELECT p.id AS a, q.id AS b, count(*) AS n FROM s p JOIN s q ON p.s = q.s AND p.id < q.id GROUP BY p.id, q.id),
+links AS (SELECT a, b FROM k JOIN c x ON x.id = a JOIN c y ON y.id = b WHERE 100 * k.n >= 85 * (x.n + y.n - k.n)), {_REACH}
+SELECT w.id AS doc_id, coalesce(c.n, 0) AS n_shingles, component_id, w.id = component_id AS kept FROM w JOIN least_id USING (id) LEFT JOIN c USING (id)""",
+}

@@ -74,10 +74,13 @@ def shape(url: Column) -> Column:
 
 
 def ngrams(df: DataFrame, text: str, order: int) -> DataFrame:
-    """A row per n-gram of 1 to `order` characters; ^ stands for the start, $ for the end."""
-    padded = F.concat(F.lit("^" * (order - 1)), F.col(text), F.lit("$"))
-    ends = F.sequence(F.lit(order), F.length(text) + order)
-    return df.withColumn("_all", padded).withColumn("_end", F.explode(ends)).withColumn("_n", F.explode(F.lit(list(range(1, order + 1))))).withColumn("gram", F.expr("substr(_all, _end - _n + 1, _n)")).drop("_all", "_end")
+    """A row per n-gram of 1 to `order` characters; ^ stands for the start, $ for the end. Rows don't carry the text unless it is used."""
+    chars = F.split(F.concat(F.lit("^" * (order - 1)), F.col(text), F.lit("$")), "")
+    chars = F.filter(chars, lambda c: c != "")
+    ends = lambda cs: F.sequence(F.lit(order), F.size(cs))
+    each = lambda cs, e: F.transform(F.sequence(F.lit(1), F.lit(order)), lambda n: F.struct(F.array_join(F.slice(cs, e - n + 1, n), "").alias("gram"), n.alias("_n")))
+    rows = df.withColumn("_chars", chars).withColumn("_grams", F.flatten(F.transform(ends(F.col("_chars")), lambda e: each(F.col("_chars"), e))))
+    return rows.drop("_chars").withColumn("_gram", F.explode("_grams")).select(*df.columns, "_gram.gram", "_gram._n")
 
 
 def train(shapes: DataFrame, order: int, strength: float, least: int) -> DataFrame:
