@@ -186,7 +186,7 @@ def near_duplicates(docs: DataFrame, percent: int = 85, rounds: int = 4) -> Data
         found = materialize(components(links), "components")
     component = sets.select("id", "set_key").join(found.select("id", "component"), "id", "left").select("set_key", F.coalesce("component", "id").alias("component"))
     component = materialize(component, "by_set")
-    out = all_rows.join(component, "set_key", "left").select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
+    out = all_rows.join(component, "set_key", "left").select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id")).alias("component_id"))
     return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(False)))
 
 

@@ -74,18 +74,20 @@ def shape(url: Column) -> Column:
 
 
 def ngrams(df: DataFrame, text: str, order: int) -> DataFrame:
-    """A row per n-gram of 1 to `order` characters; ^ stands for the start, $ for the end. Rows don't carry the text unless it is used."""
-    chars = F.split(F.concat(F.lit("^" * (order - 1)), F.col(text), F.lit("$")), "")
-    chars = F.filter(chars, lambda c: c != "")
-    ends = lambda cs: F.sequence(F.lit(order), F.size(cs))
-    each = lambda cs, e: F.transform(F.sequence(F.lit(1), F.lit(order)), lambda n: F.struct(F.array_join(F.slice(cs, e - n + 1, n), "").alias("gram"), n.alias("_n")))
-    rows = df.withColumn("_chars", chars).withColumn("_grams", F.flatten(F.transform(ends(F.col("_chars")), lambda e: each(F.col("_chars"), e))))
-    return rows.drop("_chars").withColumn("_gram", F.explode("_grams")).select(*df.columns, "_gram.gram", "_gram._n")
+    """A row per n-gram of 1 to `order` characters; ^ stands for the start, $ for the end. Linear in the text; rows carry the other columns, not the text."""
+    kept = [c for c in df.columns if c != text]
+    chars = F.filter(F.split(F.concat(F.lit("^" * (order - 1)), F.col(text), F.lit("$")), ""), lambda c: c != "")
+    rows = df.withColumn("_chars", chars).withColumn("_n1", F.slice("_chars", order, F.size("_chars")))
+    for n in range(2, order + 1):  # a character more in front of each
+        rows = rows.withColumn(f"_n{n}", F.zip_with(F.slice("_chars", order - n + 1, F.size("_n1")), f"_n{n - 1}", lambda a, b: F.concat(a, b)))
+    tagged = F.array(*(F.struct(F.lit(n).alias("n"), F.col(f"_n{n}").alias("grams")) for n in range(1, order + 1)))
+    rows = rows.select(*kept, F.explode(tagged).alias("_g"))
+    return rows.select(*kept, F.col("_g.n").alias("_n"), F.explode("_g.grams").alias("gram"))
 
 
 def train(shapes: DataFrame, order: int, strength: float, least: int) -> DataFrame:
     """(gram, gain) from (shape, allowed, blocked): the written table of both models."""
-    seen = shapes.where("allowed + blocked > 0")
+    seen = shapes.where("allowed + blocked > 0").select("shape", "allowed", "blocked")
     counts = materialize(ngrams(seen, "shape", order).groupBy("gram", F.col("_n").alias("n")).agg(F.sum("allowed").alias("a"), F.sum("blocked").alias("b")), "counts")
     total = counts.where("n = 1").agg(F.sum("a").alias("a"), F.sum("b").alias("b"), F.count("*").alias("v")).first()
     spark, done = shapes.sparkSession, None
@@ -126,10 +128,10 @@ def judge(pages: DataFrame, rules: list[tuple[str, str]], key: str = "page_id",
     rows = rows.select(key, host(F.col("_url")).alias("host"), path(F.col("_url")).alias("path"), shape(F.col("_url")).alias("shape"))
     rows = with_rule(rows, rules)
     kinds = rows.groupBy("shape").agg(F.count_if(F.col("rule_verdict") == "allow").alias("allowed"), F.count_if(F.col("rule_verdict") == "block").alias("blocked"))
-    kinds = materialize(kinds, "shapes")
+    kinds = materialize(kinds.withColumn("id", F.md5(F.col("shape").cast("binary"))), "shapes")
     model = train(kinds, order, strength, least)
-    sums = ngrams(kinds.select("shape"), "shape", order).join(model, "gram").groupBy("shape").agg(F.sum("gain").alias("gain"))
-    scored = kinds.join(sums, "shape", "left").select("shape", "allowed", "blocked", (F.coalesce("gain", F.lit(0.0)) / (F.length("shape") + 1)).alias("score"))
+    sums = ngrams(kinds.select("id", "shape"), "shape", order).join(model, "gram").groupBy("id").agg(F.sum("gain").alias("gain"))
+    scored = kinds.join(sums, "id", "left").select("shape", "allowed", "blocked", (F.coalesce("gain", F.lit(0.0)) / (F.length("shape") + 1)).alias("score"))
     scored = materialize(scored, "scores")
     cut = threshold(scored)
     out = rows.join(scored.select("shape", "score"), "shape", "left")
