@@ -89,14 +89,14 @@ QUERIES = {f.__name__: f for f in _ALL}
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Smallest id reachable over the undirected links (a, b), for ids from `nodes`.
-_REACH = """both AS (SELECT a, b FROM links UNION SELECT b, a FROM links),
-reach(id, m) AS (SELECT id, id FROM nodes UNION SELECT both.b, reach.m FROM reach JOIN both ON both.a = reach.id WHERE reach.m < both.b),
+_REACH = """two_way AS (SELECT a, b FROM links UNION SELECT b, a FROM links),
+reach(id, m) AS (SELECT id, id FROM nodes UNION SELECT two_way.b, reach.m FROM reach JOIN two_way ON two_way.a = reach.id WHERE reach.m < two_way.b),
 least_id AS (SELECT id, min(m) AS component_id FROM reach GROUP BY id)"""
 
 ORACLES: dict[str, str] = {
     "op2_near_vectors": f"""WITH RECURSIVE v AS (SELECT vec_id AS id, CAST(embedding AS DOUBLE[]) AS x FROM embeddings), u AS (SELECT id, x, sqrt(list_dot_product(x, x)) AS size FROM v),
 nodes AS (SELECT id FROM u), links AS (SELECT p.id AS a, q.id AS b FROM u p JOIN u q ON p.id < q.id WHERE list_dot_product(p.x, q.x) >= 0.9 * p.size * q.size), {_REACH},
-n AS (SELECT a AS id, count(*) AS n FROM both GROUP BY a)
+n AS (SELECT a AS id, count(*) AS n FROM two_way GROUP BY a)
 SELECT u.id AS vec_id, coalesce(n.n, 0) AS n_links, component_id, u.id = component_id AS kept FROM u JOIN least_id USING (id) LEFT JOIN n USING (id)""",
     "op9_warc_transactions": """WITH p AS (SELECT page_id, octet_length(encode(coalesce(html, ''))) AS payload_bytes, sha256(coalesce(html, '')) AS payload_digest FROM pages),
 f AS (SELECT *, min(page_id) OVER (PARTITION BY payload_digest) AS first_id FROM p)
