@@ -31,12 +31,17 @@ def unescape_html(text: pd.Series) -> pd.Series:
     return text.map(html.unescape, na_action="ignore")
 
 
+def strip(text: Column) -> Column:
+    """Without white space of any kind at either end; F.trim takes spaces only."""
+    return F.regexp_replace(text, r"(?U)^\s+|\s+$", "")
+
+
 def squeeze(text: Column) -> Column:
     return F.trim(F.regexp_replace(text, r"(?U)\s+", " "))
 
 
 def first_line(text: Column) -> Column:
-    return F.trim(F.substring_index(F.ltrim(text), "\n", 1))
+    return F.trim(F.substring_index(F.regexp_replace(text, r"^\s+", ""), "\n", 1))
 
 
 def snippet(text: Column, pattern: str, width: int = 120) -> Column:
@@ -59,12 +64,12 @@ def token_jaccard(a: Column, b: Column) -> Column:
 
 def chunks(text: Column, separator: str = r"(?m)^\s*\d+\s*[.)-]\s+") -> Column:
     """Numbered parts, trimmed, without empty and repeated ones, in their order."""
-    return F.array_distinct(F.filter(F.transform(F.split(text, separator), lambda c: F.trim(c)), lambda c: c != ""))
+    return F.array_distinct(F.filter(F.transform(F.split(text, separator), strip), lambda c: c != ""))
 
 
 def parties(text: Column, missing: Sequence[str] = ("-", "n/a", "")) -> Column:
     """Comma-separated names, trimmed, without marks for missing ones."""
-    return F.filter(F.transform(F.split(text, ","), lambda p: F.trim(p)), lambda p: ~F.lower(p).isin(*missing))
+    return F.filter(F.transform(F.split(text, ","), strip), lambda p: ~F.lower(p).isin(*missing))
 
 
 #: Words that only a legal entity's name has.

@@ -26,16 +26,22 @@ def file_name() -> Column:
     return F.substring_index("_metadata.file_path", "/", -1)
 
 
-def csv(spark: SparkSession, path: str, columns: Sequence[str], sep: str = ";", encoding: str = "windows-1252", header: bool = False) -> tuple[DataFrame, DataFrame]:
+def csv(spark: SparkSession, path: str, columns: Sequence[str], sep: str = ";", encoding: str = "iso-8859-1", header: bool = False, cp1252: bool = True) -> tuple[DataFrame, DataFrame]:
     """(rows, rejects): all columns as text by position; lines with another number of fields are rejects, whole.
 
+    With cp1252 the control characters that ISO 8859-1 gives bytes 0x80-0x9F become what cp1252 means by them.
     Rejects are kept, not just dropped, so that they can be counted and read. Multi-line fields are not allowed: files can be split.
     """
+    reader = spark.read.schema("line string").option("sep", "\x01").option("quote", "").option("encoding", encoding).option("header", header)
+    line = F.col("line")
+    if cp1252:
+        controls = range(0x80, 0xA0)
+        line = F.translate(line, "".join(map(chr, controls)), "".join("\ufffd" if i in CP1252_GAPS else bytes([i]).decode("cp1252") for i in controls))
     schema = T.StructType([*(T.StructField(c, T.StringType()) for c in columns), T.StructField("_line", T.StringType())])
-    reader = spark.read.schema(schema).option("sep", sep).option("encoding", encoding).option("header", header)
-    raw = reader.option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_line").option("quote", '"').option("escape", '"').csv(path)
-    rows = raw.where(F.col("_line").isNull()).drop("_line")
-    return rows, raw.where(F.col("_line").isNotNull()).select(F.col("_line").alias("line"))
+    options = {"sep": sep, "quote": '"', "escape": '"', "mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_line"}
+    parsed = reader.csv(path).select(line.alias("line"), F.from_csv(line, schema.toDDL(), options).alias("_f"))
+    bad = F.col("_f._line").isNotNull()
+    return parsed.where(~bad).select(*(F.col(f"_f.{c}").alias(c) for c in columns)), parsed.where(bad).select("line")
 
 
 def zip_members(spark: SparkSession, path: str, suffix: str = ".csv", encoding: str = "cp1252", limit: int = 1 << 31) -> DataFrame:

@@ -136,8 +136,7 @@ def correlation(rows: DataFrame, x: str, y: str, least: int = 4, spearman: bool
         sx, sy, sxy, sxx, syy = F.sum(k * F.col("rx")), F.sum(k * F.col("ry")), F.sum(k * F.col("rx") * F.col("ry")), F.sum(k * F.col("rx") * F.col("rx")), F.sum(k * F.col("ry") * F.col("ry"))
         one = ranked.agg(n.alias("n"), ((n * sxy - sx * sy) / F.nullif(F.sqrt(n * sxx - sx * sx) * F.sqrt(n * syy - sy * sy), F.lit(0.0))).alias("r")).first()
     else:
-        guard = (F.stddev_pop("x") > 0) & (F.stddev_pop("y") > 0)
-        one = both.agg(F.count("*").alias("n"), F.when(guard, F.corr("x", "y")).alias("r")).first()
+        one = both.agg(F.count("*").alias("n"), F.try_divide(F.covar_pop("x", "y"), F.stddev_pop("x") * F.stddev_pop("y")).alias("r")).first()
     n, r = one["n"] or 0, one["r"]
     if n < least:
         r = None
