@@ -110,7 +110,46 @@ def test_preference_pairs(spark):
     assert preferences.format_pairs(df.where("false"), preferences.neighbours(df.where("false"))).count() == 0
 
 
-def test_pipeline_on_fixture(spark):
-    out = corpus_pipeline.run(spark, "/root/testdata/sf0.001").collect()
-    starts = sorted((r.start, r.n_tokens) for r in out)
-    assert out and starts[0][0] == 0 and all(a + n == b for (a, n), (b, _) in zip(starts, starts[1:], strict=False))
+def test_pipeline_equals_brute_force(spark):
+    """Each stage again by plain means: all pairs of sets, all alignments without seeds, targets by filling, whole-text ids."""
+    import zlib
+
+    import numpy as np
+    from test_near import expected
+    from test_tokens import whole
+
+    from quillon.llm import decontaminate, queries
+
+    sf = "/root/testdata/sf0.001"
+    out = corpus_pipeline.run(spark, sf).collect()
+    docs = {r.doc_id: r for r in queries.table(spark, sf, "documents").collect()}
+    toxic = {r.doc_id for r in queries.op3_toxicity(spark, sf).where("predicted = 1").collect()}
+    left = {i: d for i, d in docs.items() if i not in toxic}
+    near = expected([(i, d.text) for i, d in left.items()])
+    left = {i: d for i, d in left.items() if near[i][1] == i}
+    items = [decontaminate.tokens((r.text or "").encode()) for r in queries.table(spark, sf, "benchmark").collect()]
+    names = {w: n + 1 for n, w in enumerate({w for ws in items for w in ws})}
+    coded = [np.array([names[w] for w in ws]) for ws in items if ws]
+    clean = {}
+    for i, d in left.items():
+        ids = np.array([names.get(w, 0) for w in decontaminate.tokens((d.text or "").encode())], np.int64)
+        if not any(decontaminate.align(x, ids)[0] >= 0.5 for x in coded):
+            clean[i] = d
+    assert len(docs) > len(clean) > len(docs) / 2
+    words = lambda t: len((t or "").encode().split())
+    sizes, copies = {}, {}
+    for d in clean.values():
+        sizes[d.source] = sizes.get(d.source, 0) + words(d.text)
+    for r in out:
+        copies[r.doc_id] = copies.get(r.doc_id, 0) + 1
+    assert set(copies) <= set(clean) and max(copies.values()) <= 2
+    largest = max(words(d.text) for d in clean.values())
+    for source, target in water(sizes, (5, 2, 1), 1.5, 2.0).items():
+        taken = sum(copies.get(i, 0) * words(d.text) for i, d in clean.items() if d.source == source)
+        assert abs(taken - target) <= largest / 2 + 1e-6
+    at = 0
+    for r in sorted(out, key=lambda r: r.start):
+        ids = whole(docs[r.doc_id].text)
+        assert (r.start, r.n_tokens, r.ids_crc32) == (at, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes()))
+        at += len(ids)
+    assert [r.doc_id for r in sorted(out, key=lambda r: r.start)] == sorted(r.doc_id for r in out)
