@@ -1,10 +1,11 @@
 """Benchmark decontamination: rare n-gram seeds find passages, Smith-Waterman alignment scores edited or paraphrased copies.
 
-Words are maximal runs without ASCII marks and white space, A-Z lower-cased. Of an item's runs of three words, in each
-stretch of STRETCH neighbouring runs the rarest over all documents is a seed, so every part of every item has one, however
-common its words are. Where seeds of an item hit near each other, the words around the hits are aligned with the whole
+Words are maximal runs without ASCII marks and white space, A-Z lower-cased. Every run of three words of an item that
+occurs in a document is a seed, however common it is, so a copy is found if any three neighbouring words of it are
+intact. Where seeds of an item hit near each other, the words around the hits are aligned with the whole
 item: 2 for equal words, -1 for other ones and for gaps. The score is the best local alignment's share of the highest
-possible one, 1 for a whole copy; a copy with a fifth of its words replaced scores about 0.7.
+possible one, 1 for a whole copy; a copy with a fifth of its words replaced scores about 0.7. Places with too few of the
+item's words for the least score go without an alignment: no alignment there could reach it.
 
 Items are collected in blocks of at most BLOCK_ITEMS items and matched by scanning documents, once for each block to
 count seeds and once to align; documents aren't moved. A block's bytes are bounded by BLOCK_BYTES.
@@ -26,7 +27,7 @@ from pyspark.sql import functions as F
 
 from quillon.llm.common import POSITIONS, materialize, mix64, tune
 
-SEED, STRETCH = 3, 3
+SEED = 3
 BLOCK_ITEMS, BLOCK_BYTES = 20_000, 8 << 20
 MATCH, MISMATCH, GAP = 2, -1, -1
 
@@ -73,15 +74,8 @@ class Index:
         self.hashes = np.array(sorted(self.seeds), np.uint64)
 
     def choose(self, frequency: dict[int, int]) -> None:
-        """Keep the rarest run of each stretch; of equally rare ones the first."""
-        chosen: dict[int, list[tuple[int, int]]] = {}
-        at = {(k, p): h for h, places in self.seeds.items() for k, p in places}
-        for k, x in enumerate(self.items):
-            runs = [at[k, p] for p in range(len(x) - min(SEED, len(x)) + 1)] if len(x) else []
-            for a in range(0, len(runs), STRETCH):
-                p = min(range(a, min(a + STRETCH, len(runs))), key=lambda p: (frequency.get(runs[p], 0), p))
-                chosen.setdefault(runs[p], []).append((k, p))
-        self.seeds = chosen
+        """Keep every run that occurs in a document; the others can't hit."""
+        self.seeds = {h: places for h, places in self.seeds.items() if frequency.get(h, 0) > 0}
         self._sort()
 
     def ids(self, raw: bytes | None) -> np.ndarray:
@@ -132,15 +126,12 @@ def alignments(index: Index, ids: np.ndarray, least: float) -> dict[int, tuple[f
     out: dict[int, tuple[float, int, int]] = {}
     for k, pairs in by_item.items():
         item, starts = index.items[k], sorted({d for d, _ in pairs})
-        m, n_seeds = len(item), len({at for _, at in pairs})
-        if n_seeds == 1 and m > 4 * SEED and len(pairs) == 1 and not _plausible(item, ids, starts[0], least):
-            continue
-        low = starts[0]
+        m, low = len(item), starts[0]
         for i, d in enumerate(starts):
             if i + 1 < len(starts) and starts[i + 1] - d <= m:
                 continue
             a, b = max(0, low - m // 2 - 1), min(len(ids), d + m + m // 2 + 1)
-            s, end = align(item, ids[a:b])
+            s, end = align(item, ids[a:b]) if _plausible(item, ids[a:b], least) else (0.0, 0)
             if s >= least and s > out.get(k, (0.0, 0, 0))[0]:
                 out[k] = (s, max(0, a + end - m), a + end)
             if i + 1 < len(starts):
@@ -148,11 +139,9 @@ def alignments(index: Index, ids: np.ndarray, least: float) -> dict[int, tuple[f
     return out
 
 
-def _plausible(item: np.ndarray, ids: np.ndarray, start: int, least: float) -> bool:
-    """Whether enough of the item's words are near a single hit for any alignment to reach the score."""
-    m = len(item)
-    near = ids[max(0, start - m // 2 - 1) : start + m + m // 2 + 1]
-    return MATCH * int(np.isin(item, near).sum()) >= least * MATCH * m
+def _plausible(item: np.ndarray, window: np.ndarray, least: float) -> bool:
+    """Whether enough of the item's words are in the window for any alignment to reach the score."""
+    return int(np.isin(item, window).sum()) >= least * len(item)
 
 
 def _blocks(benchmark: DataFrame, key: str) -> Iterator[list[tuple[int, bytes]]]:
@@ -171,7 +160,7 @@ def _blocks(benchmark: DataFrame, key: str) -> Iterator[list[tuple[int, bytes]]]
 
 
 def indexes(docs: DataFrame, benchmark: DataFrame, key: str = "item_id") -> Iterator[Index]:
-    """An index for each block of items, with seeds chosen by their frequency over all documents."""
+    """An index for each block of items, with the seeds that occur in documents."""
     spark = docs.sparkSession
     tune(spark)
     texts = docs.select(F.col("text").cast("string").alias("text"))

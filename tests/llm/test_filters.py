@@ -91,6 +91,22 @@ def test_copies_are_found_and_clean_documents_left(spark):
     assert decontaminate.contaminated(df.where("false"), bench).count() == 0
 
 
+def test_copies_with_every_fourth_or_fifth_word_replaced_are_found(spark):
+    items, docs, truth = [], [], set()
+    for step, first, m in [(s, f, m) for s in (4, 5) for f in range(s) for m in (15, 27, 38, 48, 59)]:
+        n = len(items)
+        words = [f"i{n}w{j}" for j in range(m)]
+        copy = [f"edit{n}x{j}" if j % step == first else w for j, w in enumerate(words)]
+        items.append((n, " ".join(words)))
+        docs.append((n, " ".join([f"a{n}b{j}" for j in range(30)] + copy + [f"c{n}d{j}" for j in range(30)])))
+        if decontaminate.align(np.arange(1, m + 1), np.array([0 if w.startswith("edit") else j + 1 for j, w in enumerate(copy)]))[0] >= 0.5:
+            truth.add((n, n))
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    assert len(truth) > 40
+    assert {(r.doc_id, r.item_id) for r in decontaminate.contaminated(df, bench).collect()} == truth
+
+
 def test_items_in_several_blocks(spark, monkeypatch):
     monkeypatch.setattr(decontaminate, "BLOCK_ITEMS", 2)
     bench = spark.createDataFrame([(i, f"item {i} has these words number w{i} x{i} y{i}") for i in range(5)], "item_id long, text string")
