@@ -42,7 +42,7 @@ class Encoder:
 
     A tokenizer that drops white space and never joins across it gives a text the ids of its words in order; words
     repeat, so remembering them is several times as fast as encoding texts. New words of
-    letters a-z go to the tokenizer's model as they are, others are encoded many at a time, a special token between them.
+    letters a-z go to the tokenizer's model as they are, which doesn't lower-case; others are encoded many at a time, a special token between them.
     Whether that gives the same ids, whether A-Z may be lower-cased first, and whether a last comma or full stop is a token of
     its own, is tried out on the tokenizer. `whole` encodes texts as they are, for tokenizers of other kinds.
     """
@@ -73,7 +73,7 @@ class Encoder:
         known, stops, plain, ended, kind = self.known, self.stops, [], [], self.kind.char
         tokenize = self.tokenizer.model.tokenize if self.direct else None
         for w in new:
-            if tokenize and w.isalpha():
+            if tokenize and w.isalpha() and w.islower():
                 known[w] = array(kind, [t.id for t in tokenize(w.decode())]).tobytes()
             elif w[-1] in stops and w[-2:-1].isalnum():
                 ended.append(w)
@@ -82,7 +82,7 @@ class Encoder:
             else:
                 plain.append(w)
         for w in {x for w in ended for x in (w[:-1], w[-1:]) if x not in known}:
-            if tokenize and w.isalpha():
+            if tokenize and w.isalpha() and w.islower():
                 known[w] = array(kind, [t.id for t in tokenize(w.decode())]).tobytes()
             elif b"<" in w and any(x in w.lower() for x in self.special):
                 known[w] = self._bytes(w.decode())

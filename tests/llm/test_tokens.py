@@ -72,3 +72,10 @@ def test_empty_table(spark):
     assert tokens.token_output(spark.createDataFrame([], "doc_id long, text string"), PATH).count() == 0
     with pytest.raises(Exception):
         tokens.Encoder("/nowhere.json", 2)
+
+
+def test_capitals_beside_special_tokens_are_lower_cased():
+    texts = pa.array(["Hello World <|endoftext|> The end.", "The End. Hello, <| F <|> X WORLD. world"])
+    fast = tokens.Encoder(PATH, 2)(texts)
+    assert fast == tokens.Encoder(PATH, 2, whole=True)(texts)
+    assert np.frombuffer(fast[0], "<u2").tolist() == whole(texts[0].as_py())
