@@ -192,14 +192,28 @@ def near_duplicates(docs: DataFrame, percent: int = 85, rounds: int = 4) -> Data
 
 def _repeated(rows: DataFrame) -> bool:
     """Whether any doc_id has several rows."""
-    return rows.groupBy("doc_id").count().where("count > 1").limit(1).count() > 0
+    return rows.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").limit(1).count() > 0
+
+
+def _nodes(docs: DataFrame) -> DataFrame:
+    """One row of each doc_id and text, with _node: the doc_id, or an unused number where it has several texts, for all but one of them."""
+    text = F.col("text").cast("string")
+    rows = docs.where("doc_id is not null").withColumn("_digest", F.sha2(F.concat(F.when(text.isNull(), "0").otherwise("1"), F.coalesce(text, F.lit(""))), 256))
+    texts = materialize(rows.select("doc_id", "_digest").distinct(), "digests")
+    first = texts.groupBy("doc_id").agg(F.min("_digest").alias("_digest"))
+    top = texts.agg(F.max(F.col("doc_id").cast("long"))).first()[0]
+    others = texts.join(first, ["doc_id", "_digest"], "left_anti")
+    others = materialize(others.withColumn("_other", F.monotonically_increasing_id() + F.lit(top + 1)), "others")
+    rows = rows.join(others, ["doc_id", "_digest"], "left").withColumn("_node", F.coalesce("_other", F.col("doc_id").cast("long")))
+    return materialize(rows.dropDuplicates(["_node"]), "nodes")
 
 
 def keep_one(docs: DataFrame, percent: int = 85) -> DataFrame:
-    """One document of each group, with all columns: that with the smallest doc_id; one row of equal doc_ids."""
-    own = materialize(near_duplicates(docs, percent), "near")
-    dropped = own.where(~F.col("kept") & F.col("doc_id").isNotNull()).select("doc_id").distinct()
-    kept = docs.join(dropped.hint("merge"), "doc_id", "left_anti").select(docs.columns)
-    if _repeated(own):
-        kept = kept.dropDuplicates(["doc_id"])
-    return kept
+    """One document of each group, with all columns: that with the smallest doc_id. Of rows with equal doc_id and text one stays;
+    rows with equal doc_id and other texts are documents of their own. Rows with a null doc_id all stay."""
+    repeated = _repeated(docs)
+    rows = _nodes(docs) if repeated else docs.withColumn("_node", F.col("doc_id").cast("long"))
+    own = materialize(near_duplicates(rows.select(F.col("_node").alias("doc_id"), "text"), percent), "near")
+    dropped = own.where(~F.col("kept") & F.col("doc_id").isNotNull()).select(F.col("doc_id").alias("_node")).distinct()
+    kept = rows.join(dropped.hint("merge"), "_node", "left_anti").select(docs.columns)
+    return kept.union(docs.where("doc_id is null")) if repeated else kept

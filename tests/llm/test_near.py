@@ -56,6 +56,19 @@ def test_rows_of_one_id_null_ids_and_empty_tables(spark):
     assert neardup.near_duplicates(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
 
+def test_keep_one_loses_no_other_text_of_an_id(spark):
+    text = lambda n: " ".join(f"t{n}w{i}" for i in range(40))
+    rows = [(None, text(1)), (None, text(2)), (None, text(2)), (5, text(3)), (5, text(3)), (5, text(4)), (6, text(4) + " end"), (7, text(5)), (8, text(3)), (9, None), (9, ""), (10, text(6))]
+    docs = spark.createDataFrame([(i, t, 0) for i, t in rows], "doc_id long, text string, n int")
+    kept = neardup.keep_one(docs)
+    assert kept.columns == docs.columns
+    got = [(r.doc_id, r.text) for r in kept.collect()]
+    assert sum(i is None for i, _ in got) == 3
+    assert sum(t in (text(4), text(4) + " end") for _, t in got) == 1
+    rest = [(i, t) for i, t in got if i is not None and t not in (text(4), text(4) + " end")]
+    assert sorted(rest, key=str) == sorted([(5, text(3)), (7, text(5)), (9, None), (9, ""), (10, text(6))], key=str)
+
+
 def test_signature_estimates_similarity():
     h, borrow = WordHashes(), neardup._borrow()
     a = " ".join(f"w{i}" for i in range(300)).encode()
