@@ -11,8 +11,9 @@ them, so a retried task replaces its own files. Assembly joins the three kinds o
 they share; each identifier has one record of each kind.
 
 Null payloads are empty. Payloads below `least` bytes are always responses. Of equal payloads the smallest page_id is the
-response; rows with a null page_id are responses. Rows with the same page_id and payload each have their own records: the
-first is the response. Records with a missing partner give nulls there. An empty table gives no archive and an empty result.
+response; rows with a null page_id are responses. Rows with the same page_id are numbered in the order of their payload
+digests and other columns, so a retry repeats the numbers, and each have their own records; of those with equal payloads the
+first is the response. Only rows of repeated page_ids move for that, all of one page_id to one task. Records with a missing partner give nulls there. An empty table gives no archive and an empty result.
 """
 
 from __future__ import annotations
@@ -24,7 +25,7 @@ import zlib
 from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quillon.llm.common import filesystem, fresh, materialize, publish, rows_of, tune
@@ -39,14 +40,23 @@ NAMESPACE = uuid.UUID("6ba7b811-9dad-11d1-80b4-00c04fd430c8")
 
 
 def classify(pages: DataFrame, payload: str = "html", least: int = LEAST) -> DataFrame:
-    """pages with payload_bytes, payload_digest, row_in_page, record_type and refers_to."""
+    """pages with payload_bytes, payload_digest, row_in_page, record_type, refers_to and refers_to_row."""
     body = F.coalesce(F.encode(F.col(payload).cast("string"), "UTF-8"), F.lit(b""))
     rows = pages.withColumn("payload_bytes", F.octet_length(body).cast("long")).withColumn("payload_digest", F.sha2(body, 256))
-    firsts = rows.where((F.col("payload_bytes") >= least) & F.col("page_id").isNotNull()).groupBy("payload_digest").agg(F.min("page_id").alias("first_id"), F.count("*").alias("captures")).where("captures > 1")
-    firsts = materialize(firsts.select("payload_digest", "first_id"), "firsts")
+    repeated = materialize(rows.where("page_id is not null").groupBy("page_id").count().where("count > 1").select("page_id"), "repeated")
+    if repeated.limit(1).count():
+        order = ["payload_digest", *(c for c in pages.columns if c not in ("page_id", payload, "payload_digest"))]
+        several = rows.join(repeated, "page_id", "left_semi").withColumn("row_in_page", F.row_number().over(Window.partitionBy("page_id").orderBy(*order)) - 1)
+        rows = rows.join(repeated, "page_id", "left_anti").withColumn("row_in_page", F.lit(0)).union(several)
+    else:
+        rows = rows.withColumn("row_in_page", F.lit(0))
+    firsts = rows.where((F.col("payload_bytes") >= least) & F.col("page_id").isNotNull()).groupBy("payload_digest").agg(F.min(F.struct("page_id", "row_in_page")).alias("first"), F.count("*").alias("captures")).where("captures > 1")
+    firsts = materialize(firsts.select("payload_digest", F.col("first.page_id").alias("first_id"), F.col("first.row_in_page").alias("first_row")), "firsts")
     out = rows.join(firsts, "payload_digest", "left")
-    revisit = F.col("first_id").isNotNull() & F.col("page_id").isNotNull() & (F.col("page_id") != F.col("first_id")) & (F.col("payload_bytes") >= least)
-    return out.withColumn("record_type", F.when(revisit, "revisit").otherwise("response")).withColumn("refers_to", F.when(revisit, F.col("first_id"))).drop("first_id")
+    other = (F.col("page_id") != F.col("first_id")) | (F.col("row_in_page") != F.col("first_row"))
+    revisit = F.col("first_id").isNotNull() & F.col("page_id").isNotNull() & other & (F.col("payload_bytes") >= least)
+    out = out.withColumn("record_type", F.when(revisit, "revisit").otherwise("response"))
+    return out.withColumns({"refers_to": F.when(revisit, F.col("first_id")), "refers_to_row": F.when(revisit, F.col("first_row"))}).drop("first_id", "first_row")
 
 
 def record_id(kind: str, page_id: object, number: int = 0) -> str:
@@ -66,7 +76,7 @@ def _header_value(text: str) -> str:
     return "".join(c if c > " " and c != "\x7f" else "".join(f"%{b:02X}" for b in c.encode()) for c in text)
 
 
-def transaction(page_id: object, number: int, url: str, payload: bytes, digest: str, refers_to: int | None) -> bytes:
+def transaction(page_id: object, number: int, url: str, payload: bytes, digest: str, refers_to: int | None, refers_to_row: int = 0) -> bytes:
     """A capture's three records."""
     kind = "response" if refers_to is None else "revisit"
     own = record_id("capture", page_id, number)
@@ -75,7 +85,7 @@ def transaction(page_id: object, number: int, url: str, payload: bytes, digest:
     if refers_to is None:
         main = record(kind, own, target | common, f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(payload)}\r\n\r\n".encode() + payload)
     else:
-        main = record(kind, own, target | common | {"WARC-Profile": REVISIT, "WARC-Refers-To": record_id("capture", refers_to)}, b"HTTP/1.1 200 OK\r\n\r\n")
+        main = record(kind, own, target | common | {"WARC-Profile": REVISIT, "WARC-Refers-To": record_id("capture", refers_to, refers_to_row)}, b"HTTP/1.1 200 OK\r\n\r\n")
     beside = {"WARC-Concurrent-To": own}
     get = record("request", record_id("request", page_id, number), target | beside | {"Content-Type": "application/http; msgtype=request"}, f"GET {_header_value(url) or '/'} HTTP/1.1\r\n\r\n".encode())
     fields = [f"page-id: {'' if page_id is None else page_id}", f"payload-length: {len(payload)}", f"refers-to-page: {'' if refers_to is None else refers_to}"]
@@ -88,7 +98,7 @@ def write(pages: DataFrame, out: str, url: str = "url", payload: str = "html", l
     tune(pages.sparkSession)
     slim = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col(url).cast("string").alias("url"), F.col(payload).cast("string").alias("html"))
     rows = classify(slim, "html", least)
-    rows = rows.select("page_id", "url", "html", "payload_digest", "refers_to")
+    rows = rows.select("page_id", "url", "html", "payload_digest", "refers_to", "row_in_page", "refers_to_row")
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
@@ -106,11 +116,11 @@ def write(pages: DataFrame, out: str, url: str = "url", payload: str = "html", l
         for b in batches:
             ids, urls = b.column(0).to_pylist(), b.column(1).to_pylist()
             html = b.column(2).cast(pa.large_binary()).to_pylist()
-            for page_id, address, body, digest, refers in zip(ids, urls, html, b.column(3).to_pylist(), b.column(4).to_pylist(), strict=True):
+            for page_id, address, body, digest, refers, row, refers_row in zip(ids, urls, html, *(b.column(i).to_pylist() for i in range(3, 7)), strict=True):
                 if stream is None:
                     temporary = f"{root}/.{uuid.uuid4().hex}"
                     stream, held = fs.open_output_stream(temporary), 0
-                stream.write(transaction(page_id, 0 if page_id is not None else f"{part}.{(number := number + 1)}", address or "", body or b"", digest, refers))
+                stream.write(transaction(page_id, row if page_id is not None else f"{part}.{(number := number + 1)}", address or "", body or b"", digest, refers, refers_row or 0))
                 held += len(body or b"")
                 if held >= ARCHIVE_BYTES:
                     close()

@@ -79,6 +79,22 @@ def test_archives_round_trip(spark):
     assert warc.round_trip(df.where("false")).count() == 0
 
 
+def test_rows_of_one_page_have_records_of_their_own(spark):
+    page, other = "<p>" + "x" * 200 + "</p>", "<p>" + "y" * 200 + "</p>"
+    rows = [(1, "http://a", page), (1, "http://a", page), (1, "http://b", page), (2, "http://c", other), (2, "http://c", "short"), (2, "http://c", "short"), (3, "http://d", other), (None, "http://n", page), (None, "http://n", page)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    got = warc.round_trip(df).collect()
+    assert len(got) == len(rows) == len({r.capture for r in got}) == len({r.request.id for r in got}) == len({r.metadata.id for r in got})
+    key = lambda i, u, n, kind, to: (i or 0, u, n, kind, to or 0)
+    assert sorted(key(r.metadata.page_id, r.url, r.metadata.payload_bytes, r.response.type, r.metadata.refers_to) for r in got) == sorted(
+        [key(1, "http://a", 207, "response", 0), key(1, "http://a", 207, "revisit", 1), key(1, "http://b", 207, "revisit", 1), key(2, "http://c", 207, "response", 0)]
+        + [key(2, "http://c", 5, "response", 0)] * 2 + [key(3, "http://d", 207, "revisit", 2)] + [key(None, "http://n", 207, "response", 0)] * 2
+    )
+    first = {r.response.payload_digest: r.response.id for r in got if r.response.type == "response" and r.metadata.page_id is not None}
+    assert all(r.response.refers_to_id == first[r.response.payload_digest] for r in got if r.response.type == "revisit")
+    assert {r.capture for r in warc.round_trip(df).collect() if r.metadata.page_id} == {r.capture for r in got if r.metadata.page_id}
+
+
 def test_archives_are_gzip_members(spark):
     import gzip
     import io
