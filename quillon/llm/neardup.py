@@ -10,7 +10,10 @@ is the leader, and only leader and member are compared: as many candidates as bu
 size. Candidates with too different set sizes or signatures are dropped, before any text moves; the others are confirmed
 on the full sets, recomputed from the whole texts, and the links' components found. Then
 buckets whose members are in several components get another leader, the smallest of the members not yet together
-with an earlier leader, for `rounds` rounds or until nothing is left over. No group is gathered, no pairs are listed.
+with an earlier leader, for `rounds` rounds or until nothing is left over. At last, in buckets whose members are still in
+several components, all pairs across components are compared that weren't yet: by set sizes and signatures in blocks of at most
+BLOCK members each, and those that pass on the full sets. So every pair that shares a bucket is together or was compared.
+No group is gathered.
 
 Null and empty texts, and texts of white space alone, have empty sets and link with nothing. Documents with less than
 five words have one shingle, the sequence of all. Rows with a null doc_id are returned with a null component, not
@@ -23,6 +26,7 @@ from __future__ import annotations
 import hashlib
 from collections import OrderedDict
 from collections.abc import Iterable, Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -36,6 +40,8 @@ BINS, ROWS = 128, 5
 BANDS = 25
 #: Candidates with fewer equal bins go without a look at their sets: 0.85 gives 109 of 128 on average, 84 or less once in 1e9.
 LEAST_EQUAL = 84
+#: Members of one bucket in a block of the last comparison.
+BLOCK = 2048
 #: For each empty bin the bins to borrow from, in order: attempts of a hash that all documents share.
 ATTEMPTS = 4096
 
@@ -147,6 +153,39 @@ def confirmed(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
     return pairs.select("a", "b").join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
 
 
+def across(members: DataFrame, sets: DataFrame, found: DataFrame, percent: int) -> DataFrame:
+    """(a, b) of one bucket and different components whose set sizes and signatures allow the similarity."""
+    whose = found.select(F.col("id").alias("k"), F.col("component").alias("c"))
+    at = members.select("bucket", "id").join(whose, F.col("id") == F.col("k"), "left").select("bucket", "id", F.coalesce("c", "id").alias("component"))
+    at = materialize(at, "placed")
+    # of two members one is the leader, and compared
+    mixed = at.groupBy("bucket").agg(F.count("*").alias("n"), F.min("component").alias("lowest"), F.max("component").alias("highest")).where("n > 2 and lowest != highest")
+    mixed = materialize(mixed.select("bucket", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks")), "mixed")
+    rows = at.join(mixed, "bucket").withColumn("own", F.pmod(F.xxhash64("id", F.lit(7)), F.col("blocks")).cast("int"))
+    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumns({"i": F.least("own", "other"), "j": F.greatest("own", "other")})
+    rows = rows.join(sets.select("id", "n_shingles", "low"), "id").select("bucket", "i", "j", "own", "id", "component", "n_shingles", "low")
+
+    def compare(table: pa.Table) -> pa.Table:
+        i, j = table.column("i")[0].as_py(), table.column("j")[0].as_py()
+        own, ids, whole, n = (table.column(c).to_numpy() for c in ("own", "id", "component", "n_shingles"))
+        low = np.frombuffer(b"".join(table.column("low").to_pylist()), np.uint8).reshape(-1, BINS)
+        left, right = np.flatnonzero(own == i), np.flatnonzero(own == j)
+        a, b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        for c in np.unique(whole[left]):
+            # in one block each pair of components is met from both sides
+            inside, others = left[whole[left] == c], right[whole[right] > c] if i == j else right[whole[right] != c]
+            if len(inside) > len(others):
+                inside, others = others, inside
+            for x in inside:
+                near = others[100 * np.minimum(n[others], n[x]) >= percent * np.maximum(n[others], n[x])]
+                near = near[(low[near] == low[x]).sum(1) >= LEAST_EQUAL]
+                a.append(np.minimum(ids[near], ids[x]))
+                b.append(np.maximum(ids[near], ids[x]))
+        return pa.table({"a": np.concatenate(a), "b": np.concatenate(b)})
+
+    return rows.groupBy("bucket", "i", "j").applyInArrow(compare, "a long, b long").distinct()
+
+
 def near_duplicates(docs: DataFrame, percent: int = 85, rounds: int = 4) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) of every row."""
     all_rows = materialize(sketch(docs), "sketches")
@@ -161,7 +200,12 @@ def near_duplicates(docs: DataFrame, percent: int = 85, rounds: int = 4) -> Data
     texts = materialize(texts.groupBy("id").agg(F.min("text").alias("text")) if _repeated(all_rows) else texts, "texts")
 
     pairs = members.where("id != leader").select(F.col("leader").alias("a"), F.col("id").alias("b")).distinct()
-    check = lambda pairs: confirmed(materialize(plausible(pairs, sets, percent), "pairs"), texts, percent)
+    tried = []
+
+    def check(pairs: DataFrame) -> DataFrame:
+        tried.append(materialize(plausible(pairs, sets, percent), "pairs"))
+        return confirmed(tried[-1], texts, percent)
+
     links = materialize(check(pairs), "links")
     found = materialize(components(links), "components")
     reached = members.select("bucket", "id", "leader")
@@ -184,6 +228,11 @@ def near_duplicates(docs: DataFrame, percent: int = 85, rounds: int = 4) -> Data
             continue
         links = links.union(new)
         found = materialize(components(links), "components")
+    left = materialize(across(members, sets, found, percent), "across")
+    left = materialize(left.join(reduce(DataFrame.union, tried), ["a", "b"], "left_anti"), "untried")
+    if left.limit(1).count():
+        new = materialize(confirmed(left, texts, percent), "last")
+        found = materialize(components(links.union(new)), "components")
     component = sets.select("id", "set_key").join(found.select("id", "component"), "id", "left").select("set_key", F.coalesce("component", "id").alias("component"))
     component = materialize(component, "by_set")
     out = all_rows.join(component, "set_key", "left").select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id")).alias("component_id"))

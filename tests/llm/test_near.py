@@ -56,6 +56,19 @@ def test_rows_of_one_id_null_ids_and_empty_tables(spark):
     assert neardup.near_duplicates(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
 
+def test_links_between_members_that_never_lead_are_found(spark, monkeypatch):
+    rng = random.Random(8)
+    ids, rows = list(range(120)), []
+    rng.shuffle(ids)
+    for c in range(4):  # chains: neighbours have a similarity of 0.86, others less than 0.75
+        w = [f"c{c}w{i}" for i in range(400)]
+        rows += [(ids.pop(), " ".join(w[7 * k : 7 * k + 100])) for k in range(30)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    monkeypatch.setattr(neardup, "BLOCK", 3, raising=False)
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in neardup.near_duplicates(docs, rounds=1).collect()}
+    assert got == expected(rows) and len({c for _, c in got.values()}) == 4
+
+
 def test_keep_one_loses_no_other_text_of_an_id(spark):
     text = lambda n: " ".join(f"t{n}w{i}" for i in range(40))
     rows = [(None, text(1)), (None, text(2)), (None, text(2)), (5, text(3)), (5, text(3)), (5, text(4)), (6, text(4) + " end"), (7, text(5)), (8, text(3)), (9, None), (9, ""), (10, text(6))]
