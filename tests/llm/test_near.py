@@ -136,3 +136,16 @@ def test_clusterings_miss_few_pairs_at_the_threshold(spark):
     df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
     got = {r.vec_id: r.n_links for r in vectors.near_vectors(df, cell=100).collect()}
     assert sum(got.values()) >= 2 * 1000 * 0.99
+
+
+def test_clusterings_into_many_cells_miss_few_pairs():
+    rng = np.random.default_rng(11)
+    unit = lambda v: (v / np.linalg.norm(v, axis=1)[:, None]).astype(np.float32)
+    sample, x, z = (unit(rng.normal(size=(n, 64))) for n in (32_768, 20_000, 20_000))
+    z = unit(z - (z * x).sum(1)[:, None] * x)
+    y = (0.902 * x + np.sqrt(1 - 0.902**2) * z).astype(np.float32)
+    missed = np.ones(len(x), bool)
+    for t in range(vectors.clusterings(1024)):
+        c = vectors.kmeans(sample, 1024, t).astype(np.float32)
+        missed &= (x @ c.T).argmax(1) != (y @ c.T).argmax(1)
+    assert missed.mean() < 1e-3
