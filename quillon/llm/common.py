@@ -3,9 +3,12 @@
 from __future__ import annotations
 
 import atexit
+import re
+import shutil
 import tempfile
 import uuid
 import zipfile
+from collections.abc import Callable
 from pathlib import Path
 
 import numpy as np
@@ -24,7 +27,9 @@ def ship(spark: SparkSession) -> None:
     if getattr(context, "_quillon_shipped", False):
         return
     root = Path(__file__).resolve().parents[1]
-    archive = Path(tempfile.mkdtemp()).resolve() / f"{root.name}.zip"
+    folder = Path(tempfile.mkdtemp()).resolve()
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
+    archive = folder / f"{root.name}.zip"
     with zipfile.ZipFile(archive, "w") as z:
         for f in sorted(root.rglob("*.py")):
             z.write(f, f.relative_to(root.parent))
@@ -32,17 +37,22 @@ def ship(spark: SparkSession) -> None:
     context._quillon_shipped = True
 
 
-def tune(spark: SparkSession, rows: int = ARROW_ROWS, size: int = ARROW_BYTES) -> None:
-    """Bound Arrow batches by rows and by bytes, so that very long texts don't swell a worker; ship the package."""
+def tune(spark: SparkSession) -> None:
+    """Bound Arrow batches by rows and by bytes, so that very long texts don't swell a worker; ship the package.
+
+    All operators set the same bounds, so no plan built earlier runs under others than it was built for.
+    """
     ship(spark)
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(size))
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(ARROW_BYTES))
 
 
 def workdir(spark: SparkSession) -> str:
-    """The folder that all executors share; a temporary one only where the session names none (local runs, tests)."""
+    """The folder that all executors share. Without one a session of one process gets a temporary folder; a cluster must name one."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         base = f"file://{tempfile.mkdtemp(prefix='quillon-')}"
         spark.conf.set("spark.checkpoint.dir", base)
     return base.rstrip("/")
@@ -91,6 +101,15 @@ def publish(fs: pafs.FileSystem, temporary: str, final: str) -> None:
         fs.delete_file(temporary)
 
 
+def sweep(uri: str) -> None:
+    """Delete what failed attempts left in a folder: files without their final name, once the job that wrote there is done."""
+    fs, root = filesystem(uri)
+    if fs.get_file_info(root).type == pafs.FileType.Directory:
+        for f in fs.get_file_info(pafs.FileSelector(root)):
+            if f.base_name.startswith(".") and f.type == pafs.FileType.File:
+                fs.delete_file(f.path)
+
+
 def words(raw: bytes) -> list[bytes]:
     """Lower-case A-Z, then maximal runs without [\\x20\\x09-\\x0D]: what bytes.lower() and bytes.split() do."""
     return raw.lower().split()
@@ -144,6 +163,21 @@ def grams(hashes: np.ndarray, size: int) -> np.ndarray:
         return mix64(out)
 
 
+def scanned(items: str, zero: str, kind: str, step: Callable[[str, str], tuple[str, str]], block: int = 256) -> str:
+    """SQL for what the elements of the array column `items` add, in order, while a state is carried along.
+
+    step(state, element) is the new state and the array of what to add, of type `kind`. Appending copies what was added before, so
+    elements are taken in blocks, and only whole blocks are added to the rest: as good as linear. A list of one element
+    stands for a value that is used twice and evaluated once.
+    """
+    empty = f"cast(array() as {kind})"
+    state, new = step("inn.at", "x")
+    one = f"element_at(transform(array(named_struct('at', {state}, 'new', {new})), s -> named_struct('at', s.at, 'out', concat(inn.out, s.new))), 1)"
+    inner = f"aggregate(slice({items}, b * {block} + 1, {block}), named_struct('at', acc.at, 'out', {empty}), (inn, x) -> {one})"
+    many = f"element_at(transform(array({inner}), s -> named_struct('at', s.at, 'out', concat(acc.out, s.out))), 1)"
+    return f"aggregate(sequence(0, cast(floor(size({items}) / {block}) as int)), named_struct('at', {zero}, 'out', {empty}), (acc, b) -> {many}, acc -> acc.out)"
+
+
 def components(edges: DataFrame, a: str = "a", b: str = "b", rounds: int = 60) -> DataFrame:
     """(id, component): for every id on an edge the smallest id reachable. Large-star and small-star rounds over tables.
 

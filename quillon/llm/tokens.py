@@ -10,7 +10,8 @@ A shard is a pair of Arrow IPC files in the output folder:
 Shards are ranges of doc_id, so start in the whole corpus is start in the shard plus the totals of earlier shards.
 
 Null and empty texts give just the end id. Null doc_ids sort first. Rows with the same doc_id follow one another in
-the order of their ids' bytes. An empty table gives no shard and an empty result. Other columns are ignored.
+the order of their ids' bytes, so ties don't depend on the run. Very long texts are encoded whole, in batches bounded by bytes,
+and may span any number of sequences. An empty table gives no shard and an empty result. Other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -28,13 +29,15 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillon.llm.common import filesystem, fresh, publish, rows_of, tune
+from quillon.llm.common import filesystem, fresh, publish, rows_of, sweep, tune
 
 #: Ids in a sequence, and sequences in a record batch of the files.
 SEQUENCE = 2048
 BATCH = 128
 #: Distinct words whose ids a worker remembers at a time.
 WORDS = 1_000_000
+#: Texts, and about how many bytes of them, that are encoded at a time.
+ROWS, BYTES = 2000, 8 << 20
 
 
 class Encoder:
@@ -135,14 +138,27 @@ def encoder(path: str, end_id: int, whole: bool) -> Encoder:
     return Encoder(path, end_id, whole)
 
 
+def gathered(batches: Iterable[pa.RecordBatch], rows: int, size: int) -> Iterator[pa.RecordBatch]:
+    """Neighbouring batches put together until they have that many rows or bytes."""
+    held, n, weight = [], 0, 0
+    for b in batches:
+        held.append(b)
+        n, weight = n + b.num_rows, weight + b.nbytes
+        if n >= rows or weight >= size:
+            yield from pa.Table.from_batches(held).combine_chunks().to_batches()
+            held, n, weight = [], 0, 0
+    if held:
+        yield from pa.Table.from_batches(held).combine_chunks().to_batches()
+
+
 def encode(docs: DataFrame, tokenizer: str, end_id: int = 2, whole: bool = False, bounds: list[int] | None = None) -> DataFrame:
     """(shard, doc_id, ids): little-endian ids of every text and the end id; shard is the range of `bounds` with doc_id."""
-    tune(docs.sparkSession, rows=2000, size=8 << 20)  # the more texts in a batch, the fewer distinct words to look up
+    tune(docs.sparkSession)
     edges = np.array(bounds or [], np.int64)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         of = encoder(tokenizer, end_id, whole)
-        for b in batches:
+        for b in gathered(batches, ROWS, BYTES):  # the more texts at a time, the fewer distinct words to look up
             ids = b.column(0)
             known = ids.fill_null(np.iinfo(np.int64).min).to_numpy(zero_copy_only=False)
             shard = pa.array(np.searchsorted(edges, known, side="left").astype(np.int32))
@@ -231,7 +247,9 @@ def write(docs: DataFrame, out: str, tokenizer: str, end_id: int = 2, length: in
             yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*done, strict=True), (pa.int32(), pa.int64(), pa.int64()), strict=True)], ["shard", "docs", "tokens"])
 
     dealt = encode(docs, tokenizer, end_id, whole, bounds).repartitionById(parts, F.col("shard")).sortWithinPartitions("shard", "doc_id", "ids")
-    return sorted(tuple(r) for r in dealt.mapInArrow(run, "shard int, docs long, tokens long").collect())
+    manifest = sorted(tuple(r) for r in dealt.mapInArrow(run, "shard int, docs long, tokens long").collect())
+    sweep(out)
+    return manifest
 
 
 class Shard:
