@@ -13,7 +13,9 @@ they share; each identifier has one record of each kind.
 Null payloads are empty. Payloads below `least` bytes are always responses. Of equal payloads the smallest page_id is the
 response; rows with a null page_id are responses. Rows with the same page_id are numbered in the order of their payload
 digests and other columns, so a retry repeats the numbers, and each have their own records; of those with equal payloads the
-first is the response. Only rows of repeated page_ids move for that, all of one page_id to one task. Records with a missing partner give nulls there. An empty table gives no archive and an empty result.
+first is the response. Only rows of repeated page_ids move for that, all of one page_id to one task. Very long payloads are
+written and read whole, a record at a time; a batch of records read ends after 8 MB. Of the other columns only `url` is written, whatever names
+the others have. Records with a missing partner give nulls there. An empty table gives no archive and an empty result.
 """
 
 from __future__ import annotations
@@ -28,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from quillon.llm.common import filesystem, fresh, materialize, publish, rows_of, tune
+from quillon.llm.common import filesystem, fresh, materialize, publish, rows_of, sweep, tune
 
 LEAST = 100
 LEVEL = 1
@@ -129,7 +131,9 @@ def write(pages: DataFrame, out: str, url: str = "url", payload: str = "html", l
             close()
         yield pa.RecordBatch.from_arrays([pa.array(names, pa.string())], ["name"])
 
-    return sorted(r["name"] for r in rows.mapInArrow(run, "name string").collect())
+    names = sorted(r["name"] for r in rows.mapInArrow(run, "name string").collect())
+    sweep(out)
+    return names
 
 
 def parse(stream: io.RawIOBase) -> Iterator[tuple[dict[str, str], bytes]]:
