@@ -1,19 +1,21 @@
 """Near-duplicate embeddings: spherical k-means deals vectors to cells, blocked cosine products compare within cells.
 
-Vectors of one bytes are one node. Independent clusterings, TABLES and more with more cells, each deal every node to the cell of its nearest
-centroid; a pair is counted in the first clustering that puts it in one cell. With few nodes there is one cell, and
-all pairs are compared. Centroids are fitted on a sample of at most SAMPLE nodes, drawn by hash; every node is dealt. A
-random pair at cosine 0.902 in 64 dimensions shares a cell of one clustering with a probability of 0.36 at 1024 cells and
-0.31 at 4096; the clusterings taken miss 0.0003 and 0.00055 of such pairs (20,000 measured at each size, centroids fitted on SAMPLE).
+Equal vectors are one node, known by a number of its own. Independent clusterings, TABLES and more with more cells, each deal every node to the
+cell of its nearest centroid; a pair is counted in the first clustering that puts it in one cell. There are up to four cells of 64 nodes, then one for each CELL
+nodes, however many there are: beyond FLAT cells they are made in two steps, FLAT cells and in all of them the same centroids of what the first
+step leaves, so the driver and each task hold no more than 2 * FLAT centroids of a clustering. Centroids are fitted on a sample of at most SAMPLE nodes, drawn by hash; every node is
+dealt. Of 20,000 random pairs at cosine 0.902 in 64 dimensions, 0.00005 were missed with 64 and 512 cells, 0.0009 with 4096 and about 0.001 with 65,536 and with a million.
 
 A cell with more than BLOCK nodes is dealt to blocks by hash, and each pair of blocks is a group of its own, so no
 group has more than about two blocks of nodes, whatever a cell holds. A group returns, for each of its nodes, the number of its
 links and the smallest node that it reaches within the group: as many rows as nodes, never pairs. Components of these
 links are found by rounds of joins.
 
-Cosines are taken in double precision. Vectors that are null, zero, or have null or non-finite components link with
-nothing, nor do vectors of another length than most. Null vec_ids are returned with null component, not kept. Rows with
-the same vec_id are one vector each (links count rows). An empty table gives an empty result.
+Vectors of floats travel as floats. Products are of floats; those within MARGIN of the threshold are taken again in double precision, of the same
+components, so the result is that of doubles. Vectors that are null, zero, or have null or non-finite components link with
+nothing; vectors of different lengths don't link, those of each length are compared among themselves. Rows with the same vec_id or a null one are vectors
+of their own (links count rows); component_id is the smallest vec_id that isn't null among the rows reached, null if there is none, and a row with a null
+vec_id isn't kept. Other columns are ignored, whatever their names. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -21,24 +23,31 @@ from __future__ import annotations
 import hashlib
 import math
 from collections.abc import Iterable, Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, FloatType
 
 from quillon.llm.common import components, materialize, tune
 
 TABLES = 14
 CELL = 768
-MAX_CELLS = 4096
+#: As many cells as there are of this many nodes each, before there are of CELL nodes.
+LEAST_CELLS, LEAST_IN_CELL = 4, 64
+#: Cells that are made in one step; with more there are two.
+FLAT = 4096
 SAMPLE = 32_768
 BLOCK = 2048
+#: Of products of unit vectors of floats, and more for each component; their error is some 1e-6.
+MARGIN, MARGIN_EACH = 1e-4, 2e-7
 
 
 def clusterings(k: int) -> int:
-    """How many clusterings into k cells miss less than 1e-3 of pairs at the threshold: the more cells, the less one joins."""
-    return 1 if k == 1 else TABLES + max(0, math.ceil(math.log2(k / 16)))
+    """How many clusterings into k cells miss less than 1e-3 of pairs at the threshold: the more cells, the less one joins, those of two steps still less."""
+    return TABLES + max(0, math.ceil(math.log2(k / 16))) if k <= FLAT else math.ceil(24 + 4 * math.log2(k / FLAT))
 
 
 def kmeans(x: np.ndarray, k: int, seed: int, rounds: int = 6) -> np.ndarray:
@@ -56,20 +65,46 @@ def kmeans(x: np.ndarray, k: int, seed: int, rounds: int = 6) -> np.ndarray:
     return c
 
 
-def _keys(column: pa.Array) -> tuple[list[bytes | None], list[bytes | None]]:
-    """Digest and unit vector (doubles) of every usable vector, null for the others."""
-    keys, units = [], []
+class Cells:
+    """A clustering into k cells: centroids of unit vectors, and beyond FLAT cells those of what the first step leaves."""
+
+    def __init__(self, sample: np.ndarray, k: int, seed: int):
+        self.first = kmeans(sample, min(k, FLAT), seed)
+        self.second = None
+        if k > FLAT:
+            rest = _unit(sample - self.first[(sample @ self.first.T).argmax(1)])
+            self.second = kmeans(rest, min(-(-k // FLAT), FLAT), seed + 1)
+
+    def __call__(self, x: np.ndarray) -> np.ndarray:
+        out = np.empty(len(x), np.int64)
+        for at in range(0, len(x), 4096):
+            part = x[at : at + 4096]
+            out[at : at + 4096] = cell = (part @ self.first.T).argmax(1)
+            if self.second is not None:
+                out[at : at + 4096] = cell * len(self.second) + (_unit(part - self.first[cell]) @ self.second.T).argmax(1)
+        return out
+
+
+def _unit(x: np.ndarray) -> np.ndarray:
+    return x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-30)
+
+
+def _raw(column: pa.Array, kind: np.dtype) -> tuple[list[bytes | None], list[bytes | None]]:
+    """Digest and components of every usable vector, null for the others."""
+    keys, found = [], []
     for v in column:
-        x = np.array([np.nan if c is None else c for c in v.as_py()], float) if v.is_valid else np.zeros(0)
-        top = np.abs(x).max() if len(x) else 0.0
-        if not np.isfinite(top) or top == 0:
-            keys.append(None)
-            units.append(None)
-            continue
-        keys.append(hashlib.blake2b((x + 0.0).tobytes(), digest_size=16).digest())
-        x = x / top
-        units.append((x / np.sqrt(x @ x)).tobytes())
-    return keys, units
+        x = np.array([np.nan if c is None else c for c in v.as_py()], kind) if v.is_valid else np.zeros(0, kind)
+        raw = (x + kind.type(0)).tobytes() if len(x) and np.isfinite(x).all() and x.any() else None  # -0.0 is 0.0
+        keys.append(raw and hashlib.blake2b(raw, digest_size=16).digest())
+        found.append(raw)
+    return keys, found
+
+
+def _units(raw: list[bytes], kind: np.dtype) -> np.ndarray:
+    """Unit vectors in double precision."""
+    x = np.frombuffer(b"".join(raw), kind).astype(float).reshape(len(raw), -1)
+    x = x / np.abs(x).max(1, keepdims=True)
+    return x / np.sqrt((x * x).sum(1, keepdims=True))
 
 
 def _labels(linked: np.ndarray, rows: np.ndarray, cols: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -88,76 +123,89 @@ def near_vectors(df: DataFrame, least: float = 0.9, vec_id: str = "vec_id", embe
     """(vec_id, n_links, component_id, kept) of every row."""
     spark = df.sparkSession
     tune(spark)
+    single = df.schema[embedding].dataType == ArrayType(FloatType()) or df.schema[embedding].dataType == ArrayType(FloatType(), False)
+    kind = np.dtype(np.float32 if single else np.float64)
 
     def digest(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            keys, units = _keys(b.column(1))
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(keys, pa.binary()), pa.array(units, pa.binary())], ["vec_id", "key", "unit"])
+            keys, raw = _raw(b.column(1), kind)
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(keys, pa.binary()), pa.array(raw, pa.binary())], ["vec_id", "key", "raw"])
 
-    rows = df.select(F.col(vec_id).cast("long").alias("vec_id"), F.col(embedding).cast("array<double>").alias("v")).mapInArrow(digest, "vec_id long, key binary, unit binary")
+    rows = df.select(F.col(vec_id).cast("long").alias("vec_id"), F.col(embedding).cast(f"array<{'float' if single else 'double'}>").alias("v")).mapInArrow(digest, "vec_id long, key binary, raw binary")
     rows = materialize(rows, "vectors")
-    nodes = rows.where("key is not null and vec_id is not null").groupBy("key").agg(F.min("vec_id").alias("id"), F.count("*").alias("copies"), F.first("unit").alias("unit"))
-    lengths = rows.where("unit is not null").groupBy(F.length("unit").alias("size")).count().orderBy(F.desc("count"), "size").limit(1).collect()
-    size = lengths[0]["size"] if lengths else 8
-    nodes = materialize(nodes, "nodes")
-    usable = nodes.where(F.length("unit") == size)
-    n = usable.count()
-    k = min(MAX_CELLS, max(1, n // cell))
-    share = min(1.0, SAMPLE / max(1, n))
-    drawn = usable.where(F.pmod(F.xxhash64("key", F.lit(5)), F.lit(1 << 20)) < int(share * (1 << 20))).select("unit").toPandas()["unit"] if k > 1 else []
-    sample = np.frombuffer(b"".join(drawn), float).reshape(len(drawn), -1) if len(drawn) else np.zeros((1, size // 8))
-    k = min(k, len(sample))
-    tables = clusterings(k) if tables is None or k == 1 else tables
-    centroids = spark.sparkContext.broadcast([kmeans(sample, k, t) for t in range(tables)] if k > 1 else [np.zeros((1, size // 8))])
+    nodes = rows.where("key is not null").groupBy("key").agg(F.min("vec_id").alias("least_id"), F.count("*").alias("copies"), F.first("raw").alias("raw"))
+    nodes = materialize(nodes.withColumn("id", F.monotonically_increasing_id()), "nodes")
+    sizes = nodes.groupBy(F.length("raw").alias("size")).count().orderBy("size").collect()
+    links = [_links(nodes.where(F.length("raw") == r["size"]), r["count"], kind, least, tables, cell) for r in sizes]
+    links = reduce(DataFrame.union, links) if links else spark.createDataFrame([], "id long, n long, reach long")
+    counts = links.groupBy("id").agg(F.sum("n").alias("n"))
+    found = components(links.select("id", "reach"), "id", "reach")
+    whose = nodes.select("key", "id", "copies", "least_id").join(counts, "id", "left").join(found, "id", "left")
+    whose = materialize(whose.select("key", F.coalesce("n", F.lit(0)).alias("n"), "copies", "least_id", F.coalesce("component", "id").alias("component")), "by_key")
+    names = whose.groupBy("component").agg(F.min("least_id").alias("component_id"))
+    whose = materialize(whose.join(names, "component").select("key", "n", "copies", "component_id"), "named")
+    out = rows.select("vec_id", "key").join(whose, "key", "left")
+    n_links = F.coalesce(F.col("n") + F.col("copies") - 1, F.lit(0)).cast("long")
+    out = out.select("vec_id", n_links.alias("n_links"), F.when(F.col("key").isNull(), F.col("vec_id")).otherwise(F.col("component_id")).alias("component_id"))
+    return out.withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(False)))
+
+
+def _links(nodes: DataFrame, n: int, kind: np.dtype, least: float, tables: int | None, cell: int) -> DataFrame:
+    """A written table (id, n, reach): how many rows a node links with in one group, and the smallest node it reaches there. All nodes have one length."""
+    spark = nodes.sparkSession
+    share = min(1.0, SAMPLE / n)
+    drawn = nodes.where(F.pmod(F.xxhash64("key", F.lit(5)), F.lit(1 << 20)) < math.ceil(share * (1 << 20))).select("raw").toPandas()["raw"]
+    sample = _units(list(drawn), kind).astype(np.float32)
+    k = max(1, min(LEAST_CELLS, n // LEAST_IN_CELL), n // cell)
+    tables = 1 if k == 1 else clusterings(k) if tables is None else tables
+    cells = spark.sparkContext.broadcast([Cells(sample, k, 2 * t) for t in range(tables)])
 
     def deal(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             if len(b):
-                x = np.frombuffer(b"".join(b.column(2).to_pylist()), float).reshape(len(b), -1)
-                cells = np.stack([(x @ c.T).argmax(1) for c in centroids.value], 1).astype(np.int32)
-                yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), pa.array(list(cells), pa.list_(pa.int32()))], ["id", "copies", "unit", "cells"])
-
-    dealt = materialize(usable.select("id", "copies", "unit").mapInArrow(deal, "id long, copies long, unit binary, cells array<int>"), "dealt")
-    placed = dealt.select("id", "copies", "unit", "cells", F.posexplode("cells").alias("t", "cell"))
-    sizes = materialize(placed.groupBy("t", "cell").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks")), "sizes")
-    # a table row per clustering and cell: at most clusterings(MAX_CELLS) * MAX_CELLS of them
-    placed = placed.join(F.broadcast(sizes), ["t", "cell"])
+                x = _units(b.column(2).to_pylist(), kind).astype(np.float32)
+                own = np.stack([c(x) for c in cells.value], 1).astype(np.int32)
+                lists = pa.ListArray.from_arrays(pa.array(np.arange(len(b) + 1, dtype=np.int32) * own.shape[1]), pa.array(own.ravel()))
+                yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), lists], ["id", "copies", "raw", "cells"])
+
+    dealt = materialize(nodes.select("id", "copies", "raw").mapInArrow(deal, "id long, copies long, raw binary, cells array<int>"), "dealt")
+    placed = dealt.select("id", "copies", "raw", "cells", F.posexplode("cells").alias("t", "cell"))
+    blocks = placed.groupBy("t", "cell").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
+    # only cells of several blocks, at most tables * n / BLOCK of them, are joined; the others are one group each
+    blocks = materialize(blocks.where("blocks > 1"), "blocks")
+    placed = placed.join(blocks, ["t", "cell"], "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
     placed = placed.withColumn("own", F.pmod(F.xxhash64("id", F.lit(7)), F.col("blocks")).cast("int"))
     others = F.sequence(F.lit(0), F.col("blocks") - 1)
     placed = placed.withColumn("other", F.explode(others)).withColumns({"i": F.least("own", "other"), "j": F.greatest("own", "other")})
-    groups = placed.select("t", "cell", "i", "j", "own", "id", "copies", "unit", "cells")
+    groups = placed.select("t", "cell", "i", "j", "own", "id", "copies", "raw", "cells")
 
     def compare(table: pa.Table) -> pa.Table:
         t, i, j = (table.column(c)[0].as_py() for c in ("t", "i", "j"))
         own, ids, copies = (table.column(c).to_numpy() for c in ("own", "id", "copies"))
-        x = np.frombuffer(b"".join(table.column("unit").to_pylist()), float).reshape(len(ids), -1)
-        cells = np.array(table.column("cells").to_pylist(), np.int32).reshape(len(ids), -1)
+        x = _units(table.column("raw").to_pylist(), kind)
+        y = x.astype(np.float32)
         a, b = (np.flatnonzero(own == i), np.flatnonzero(own == j))
         n_links, reach = np.zeros(len(ids), np.int64), ids.copy()
         if len(a) and len(b):
-            linked = x[a] @ x[b].T >= least
+            product = y[a] @ y[b].T
+            linked = product >= least
+            p, q = np.nonzero(np.abs(product - least) < MARGIN + MARGIN_EACH * x.shape[1])
+            linked[p, q] = (x[a[p]] * x[b[q]]).sum(1) >= least
             if i == j:
                 np.fill_diagonal(linked, False)
             if linked.any():
                 la, lb = _labels(linked, ids[a], ids[b])
                 np.minimum.at(reach, a, la)
                 np.minimum.at(reach, b, lb)
-                for s in range(t):
-                    linked &= cells[a, s][:, None] != cells[b, s][None, :]
-                n_links[a] += linked @ copies[b]
+                p, q = np.nonzero(linked)
+                cells = np.array(table.column("cells").to_pylist(), np.int32).reshape(len(ids), -1)
+                for s in range(t):  # counted there already
+                    new = cells[a[p], s] != cells[b[q], s]
+                    p, q = p[new], q[new]
+                n_links += np.bincount(a[p], copies[b[q]], len(ids)).astype(np.int64)
                 if i != j:
-                    n_links[b] += copies[a] @ linked
+                    n_links += np.bincount(b[q], copies[a[p]], len(ids)).astype(np.int64)
         some = (n_links > 0) | (reach != ids)
         return pa.table({"id": ids[some], "n": n_links[some], "reach": reach[some]})
 
-    links = materialize(groups.groupBy("t", "cell", "i", "j").applyInArrow(compare, "id long, n long, reach long"), "links")
-    counts = links.groupBy("id").agg(F.sum("n").alias("n"))
-    found = components(links.select("id", "reach"), "id", "reach")
-    whose = nodes.select("key", "id", "copies").join(counts, "id", "left").join(found, "id", "left")
-    whose = whose.select("key", F.coalesce("n", F.lit(0)).alias("n"), "copies", F.coalesce("component", "id").alias("component"))
-    whose = materialize(whose, "by_key")
-    out = rows.select("vec_id", "key").join(whose, "key", "left")
-    n_links = F.when(F.col("vec_id").isNull(), 0).otherwise(F.coalesce(F.col("n") + F.col("copies") - 1, F.lit(0))).cast("long")
-    component = F.when(F.col("vec_id").isNotNull(), F.coalesce("component", "vec_id"))
-    out = out.select("vec_id", n_links.alias("n_links"), component.alias("component_id"))
-    return out.withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(False)))
+    return materialize(groups.groupBy("t", "cell", "i", "j").applyInArrow(compare, "id long, n long, reach long"), "links")

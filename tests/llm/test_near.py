@@ -47,15 +47,39 @@ def test_groups_equal_brute_force(spark):
     assert got == expected(rows)
 
 
+def by_row(rows, percent=85):
+    """What near_duplicates returns for rows with equal and null ids: links between rows, the smallest id that isn't null of each component."""
+    found = expected([(n, t) for n, (_, t) in enumerate(rows)], percent)
+    least = {}
+    for n, (i, _) in enumerate(rows):
+        if i is not None:
+            least[found[n][1]] = min(least.get(found[n][1], i), i)
+    out = [(i, found[n][0], least.get(found[n][1])) for n, (i, _) in enumerate(rows)]
+    return sorted(((i, n, c, i is not None and i == c) for i, n, c in out), key=str)
+
+
 def test_rows_of_one_id_null_ids_and_empty_tables(spark):
-    text = "a b c d e f g"
-    docs = spark.createDataFrame([(5, text), (5, text), (None, text), (7, text)], "doc_id long, text string")
-    out = sorted((r.doc_id or 0, r.component_id or 0, r.kept) for r in neardup.near_duplicates(docs).collect())
-    assert out == [(0, 0, False), (5, 5, True), (5, 5, True), (7, 5, False)]
-    assert sorted(r.doc_id or 0 for r in neardup.keep_one(docs).collect()) == [0, 5]
+    text = lambda n, *edits: " ".join(f"t{n}w{i}" if i not in edits else f"edit{i}" for i in range(60))
+    rows = [(5, text(1)), (5, text(1)), (None, text(1)), (7, text(1)), (5, text(2)), (8, text(2, 59)), (None, text(3)), (None, text(4)), (3, text(4, 0)), (None, None), (1, text(6)), (1, text(7)), (2, text(7) + " one more"), (9, None), (9, "")]
+    docs = spark.createDataFrame([(*r, "x", 1) for r in rows], "doc_id long, text string, digest string, id int")
+    out = sorted(((r.doc_id, r.n_shingles, r.component_id, r.kept) for r in neardup.near_duplicates(docs).collect()), key=str)
+    assert out == by_row(rows)
     assert neardup.near_duplicates(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
 
+def test_signatures_drop_no_pair_at_the_threshold():
+    rng, borrow = np.random.default_rng(5), neardup._borrow()
+    for percent in (80, 85):
+        for union in (5, 6, 7, 13, 20, 40, 127, 300, 1000, 2000):
+            both = -(-union * percent // 100)
+            for _ in range(100):
+                values = rng.integers(0, 1 << 64, union, np.uint64)
+                cut = both + rng.integers(0, union - both + 1)
+                s, t = np.sort(values[:cut]), np.sort(np.concatenate([values[:both], values[cut:]]))
+                equal = (neardup.signature(s, borrow) == neardup.signature(t, borrow)).sum()
+                assert equal >= neardup.least_equal(percent), (percent, union)
+
+
 def test_links_between_members_that_never_lead_are_found(spark, monkeypatch):
     rng = random.Random(8)
     ids, rows = list(range(120)), []
@@ -71,15 +95,14 @@ def test_links_between_members_that_never_lead_are_found(spark, monkeypatch):
 
 def test_keep_one_loses_no_other_text_of_an_id(spark):
     text = lambda n: " ".join(f"t{n}w{i}" for i in range(40))
-    rows = [(None, text(1)), (None, text(2)), (None, text(2)), (5, text(3)), (5, text(3)), (5, text(4)), (6, text(4) + " end"), (7, text(5)), (8, text(3)), (9, None), (9, ""), (10, text(6))]
-    docs = spark.createDataFrame([(i, t, 0) for i, t in rows], "doc_id long, text string, n int")
+    rows = [(None, text(1)), (None, text(2)), (None, text(2)), (5, text(3)), (5, text(3)), (5, text(4)), (6, text(4) + " end"), (7, text(5)), (8, text(3)), (9, None), (9, ""), (10, text(6)), (None, text(6))]
+    docs = spark.createDataFrame([(i, t, 0, "d") for i, t in rows], "doc_id long, text string, _name int, _digest string")
     kept = neardup.keep_one(docs)
     assert kept.columns == docs.columns
     got = [(r.doc_id, r.text) for r in kept.collect()]
-    assert sum(i is None for i, _ in got) == 3
-    assert sum(t in (text(4), text(4) + " end") for _, t in got) == 1
-    rest = [(i, t) for i, t in got if i is not None and t not in (text(4), text(4) + " end")]
-    assert sorted(rest, key=str) == sorted([(5, text(3)), (7, text(5)), (9, None), (9, ""), (10, text(6))], key=str)
+    assert sorted(got, key=str) == sorted([(None, text(1)), (None, text(2)), (5, text(3)), (5, text(4)), (7, text(5)), (9, None), (9, ""), (10, text(6))], key=str)
+    plain = spark.createDataFrame([(1, text(1)), (2, text(1)), (3, text(1).replace("t1w39", "x y z u")), (4, text(2))], "doc_id long, text string")
+    assert sorted(r.doc_id for r in neardup.keep_one(plain).collect()) == [1, 4]
 
 
 def test_signature_estimates_similarity():
@@ -138,14 +161,42 @@ def test_clusterings_miss_few_pairs_at_the_threshold(spark):
     assert sum(got.values()) >= 2 * 1000 * 0.99
 
 
-def test_clusterings_into_many_cells_miss_few_pairs():
+def test_vectors_of_equal_and_null_ids_and_of_several_lengths(spark):
+    rng = np.random.default_rng(4)
+    base = rng.normal(size=(12, 8))
+    rows = [(1, base[0]), (1, base[1]), (2, base[1] + 0.01), (None, base[0] * 3), (None, base[2]), (None, base[2] + 0.01), (4, base[3]), (4, base[3]), (6, base[4][:2]), (7, base[4][:2] + 0.001), (8, base[5][:3])] + [(20 + k, v) for k, v in enumerate(base[6:])]
+    for kind in ("double", "float"):
+        df = spark.createDataFrame([(i, v.tolist()) for i, v in rows], f"vec_id long, embedding array<{kind}>")
+        n, label = brute_vectors_of_lengths([v for _, v in rows])
+        least = {}
+        for (i, _), c in zip(rows, label, strict=True):
+            if i is not None:
+                least[c] = min(least.get(c, i), i)
+        want = sorted(((i, n[k], least.get(label[k]), i is not None and least.get(label[k]) == i) for k, (i, _) in enumerate(rows)), key=str)
+        got = vectors.near_vectors(df).collect()
+        assert sorted(((r.vec_id, r.n_links, r.component_id, r.kept) for r in got), key=str) == want
+
+
+def brute_vectors_of_lengths(x, least=0.9):
+    unit = [v / np.linalg.norm(v) for v in x]
+    links = [[j for j in range(len(x)) if i != j and len(x[i]) == len(x[j]) and unit[i] @ unit[j] >= least] for i in range(len(x))]
+    label = list(range(len(x)))
+    for _ in range(len(x)):
+        label = [min([label[i], *(label[j] for j in links[i])]) for i in range(len(x))]
+    return [len(v) for v in links], label
+
+
+def test_clusterings_into_many_cells_miss_few_pairs(monkeypatch):
+    """Random pairs just above the threshold; the two-step cells with a smaller first step, for time's sake."""
     rng = np.random.default_rng(11)
     unit = lambda v: (v / np.linalg.norm(v, axis=1)[:, None]).astype(np.float32)
-    sample, x, z = (unit(rng.normal(size=(n, 64))) for n in (32_768, 20_000, 20_000))
+    sample, x, z = (unit(rng.normal(size=(n, 64))) for n in (16_384, 10_000, 10_000))
     z = unit(z - (z * x).sum(1)[:, None] * x)
     y = (0.902 * x + np.sqrt(1 - 0.902**2) * z).astype(np.float32)
-    missed = np.ones(len(x), bool)
-    for t in range(vectors.clusterings(1024)):
-        c = vectors.kmeans(sample, 1024, t).astype(np.float32)
-        missed &= (x @ c.T).argmax(1) != (y @ c.T).argmax(1)
-    assert missed.mean() < 1e-3
+    for k, flat in ((4, 4096), (64, 4096), (512, 4096), (4096, 256)):
+        monkeypatch.setattr(vectors, "FLAT", flat)
+        missed = np.ones(len(x), bool)
+        for t in range(vectors.clusterings(k)):
+            c = vectors.Cells(sample, k, 2 * t)
+            missed &= c(x) != c(y)
+        assert missed.mean() < 1e-3, k
