@@ -1,6 +1,7 @@
 """Mixing sources to target weights: water-filled targets, whole epochs, then Efraimidis-Spirakis sampling. DataFrame functions only.
 
-A document's key is -ln(u) / w: u is uniform from a hash of its doc_id, w its quality weight. Within a source, documents in
+A document's key is -ln(u) / w: u is uniform from a hash of its doc_id and text, w its quality weight. Where several rows
+have the same of both, the row's number goes into the hash too, so that they are drawn each for itself. Within a source, documents in
 ascending order of key are taken until their words reach what the target leaves after whole epochs; the document that
 crosses that budget is taken if this brings the sum nearer. As each key is exponential with rate w, that is weighted
 sampling without replacement.
@@ -8,9 +9,12 @@ sampling without replacement.
 No source is sorted. Keys are mapped to [0, 1) by 1 - exp(-key), and words are summed in `FAN` bins for each source; the
 budget falls in one bin, which is divided again; only what two divisions leave, a millionth of a source, is ordered. What
 remains is a table with a row per source: size, target, epochs, and the last key taken. Documents meet only that table.
+Words are counted once: sizes and keys are written, with the documents themselves for `mixed`, without their texts for `decide`.
 
-Null sources are one source, last in order. Null and empty texts have size 0 and are never taken. Rows with the same doc_id
-have the same key and are taken alike. An empty table gives an empty result. Other columns are kept by `mixed`.
+Null sources are one source, last in order. Null and empty texts have size 0 and are never taken. Rows with the same doc_id,
+and those with a null one, have keys of their own; which of several equal rows are taken depends on how the table is read, nothing else does. Equal keys are taken in the order of doc_id and size. Very long texts count
+whole: a source misses its target by at most half the size of the document at the cut. An empty table gives an empty result. `mixed`
+keeps all columns of docs, whatever their names; `decide` gives just its own.
 """
 
 from __future__ import annotations
@@ -35,9 +39,9 @@ def quality(text: Column) -> Column:
     return F.coalesce(F.greatest(F.lit(0.2), 1 - 4 * odd), F.lit(1.0))
 
 
-def place(doc_id: Column, weight: Column, seed: int) -> Column:
+def place(identity: list[Column], weight: Column, seed: int) -> Column:
     """1 - exp(-key): the same order as key, in [0, 1)."""
-    u = (F.pmod(F.xxhash64(doc_id, F.lit(seed)), F.lit(1 << 52)) + 0.5) / float(1 << 52)
+    u = (F.pmod(F.xxhash64(*identity, F.lit(seed)), F.lit(1 << 52)) + 0.5) / float(1 << 52)
     return F.least(1 - F.pow(u, 1 / weight), F.lit(1 - 2**-53))
 
 
@@ -60,15 +64,26 @@ def targets(sizes: DataFrame, weights: tuple[float, ...], share: float, cap: flo
     return t.withColumn("target", F.when(F.col("capped"), F.col("most")).otherwise(free / free_w * F.col("w"))).select(*SOURCE, "source_size", "target")
 
 
-def keyed(docs: DataFrame, weight: Column | None, seed: int) -> DataFrame:
-    """Adds the columns that the mix works with to documents."""
+def keyed(docs: DataFrame, weight: Column | None, seed: int, carried: dict[str, Column]) -> DataFrame:
+    """A written table of the columns that the mix works with, and those carried along."""
     text = F.col("text").cast("string")
-    return docs.withColumns({"source_null": F.col("source").isNull().cast("int"), "source_key": F.coalesce(F.col("source").cast("string"), F.lit("")), "size": size(text), "place": place(F.col("doc_id"), quality(text) if weight is None else weight, seed)})
-
-
-def plan(docs: DataFrame, weights: tuple[float, ...], share: float, cap: float, quality_weight: Column | None, seed: int) -> DataFrame:
+    own = {"source_null": F.col("source").isNull().cast("int"), "source_key": F.coalesce(F.col("source").cast("string"), F.lit("")), "doc_id": F.col("doc_id"), "size": size(text)}
+    own |= {"weight": (quality(text) if weight is None else weight).cast("double"), "digest": F.xxhash64(text), "number": F.monotonically_increasing_id()}
+    rows = materialize(docs.select(*(c.alias(n) for n, c in (own | carried).items())), "documents")
+    identity = [F.col("doc_id"), F.col("digest")]
+    several = rows.groupBy(*identity).count().where("count > 1").select(F.col("doc_id").alias("i"), F.col("digest").alias("d"))
+    several = materialize(several, "several")
+    if several.limit(1).count() == 0:
+        return rows.withColumn("place", place(identity, F.col("weight"), seed))
+    # equal rows, however many, are a single row here; AQE splits the other side
+    rows = rows.join(several, F.col("doc_id").eqNullSafe(F.col("i")) & (F.col("digest") == F.col("d")), "left")
+    own = place([*identity, F.col("number")], F.col("weight"), seed)
+    return rows.withColumn("place", F.when(F.col("d").isNull(), place(identity, F.col("weight"), seed)).otherwise(own)).drop("i", "d")
+
+
+def plan(rows: DataFrame, weights: tuple[float, ...], share: float, cap: float) -> DataFrame:
     """A written row per source: source_size, target, epochs, and the last place and doc_id taken of the fraction."""
-    slim = materialize(keyed(docs, quality_weight, seed).select(*SOURCE, "doc_id", "size", "place"), "keys")
+    slim = rows.select(*SOURCE, "doc_id", "size", "place")
     sizes = slim.groupBy(*SOURCE).agg(F.sum("size").alias("source_size"))
     state = targets(sizes, weights, share, cap)
     epochs = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(F.lit(0)).cast("long")
@@ -92,27 +107,32 @@ def plan(docs: DataFrame, weights: tuple[float, ...], share: float, cap: float,
     upto = F.sum("size").over(Window.partitionBy(*SOURCE).orderBy("place", "doc_id", "size").rowsBetween(Window.unboundedPreceding, 0))
     last = last.withColumn("upto", upto).where(F.col("upto") - F.col("size") / 2 <= F.col("rest"))
     last = last.groupBy(*SOURCE).agg(F.max(F.struct("place", "doc_id")).alias("cut"))
-    at_low = F.struct(F.col("low").alias("place"), F.lit(None).cast(docs.schema["doc_id"].dataType).alias("doc_id"))
-    nothing = F.struct(F.lit(-1.0).alias("place"), F.lit(None).cast(docs.schema["doc_id"].dataType).alias("doc_id"))
+    at_low = F.struct(F.col("low").alias("place"), F.lit(None).cast(slim.schema["doc_id"].dataType).alias("doc_id"))
+    nothing = F.struct(F.lit(-1.0).alias("place"), F.lit(None).cast(slim.schema["doc_id"].dataType).alias("doc_id"))
     has_rest = F.col("target") > F.col("epochs") * F.col("source_size")
     done = state.join(last, SOURCE, "left").withColumn("cut", F.when(has_rest, F.coalesce("cut", at_low)).otherwise(nothing))
     return materialize(done.select(*SOURCE, "source_size", "target", "epochs", "cut"), "plan")
 
 
+def _decided(docs: DataFrame, carried: dict[str, Column], weights: tuple[float, ...], share: float, cap: float, quality_weight: Column | None, seed: int) -> DataFrame:
+    rows = keyed(docs, quality_weight, seed, carried)
+    per_source = plan(rows, weights, share, cap)
+    taken = F.struct("place", "doc_id") <= F.col("cut")
+    copies = F.when(F.col("size") > 0, F.col("epochs") + taken.cast("long")).otherwise(F.lit(0)).cast("long")
+    return rows.join(per_source, SOURCE).withColumn("copies", copies)
+
+
 def decide(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), share: float = 1.5, cap: float = 2.0, quality_weight: Column | None = None, seed: int = 1) -> DataFrame:
-    """Documents with size, source_size, target and copies: how often the mix takes each.
+    """(doc_id, source, size, source_size, target, copies) of every row of docs: how often the mix takes it.
 
     weights go to the sources in code point order, again and again; the mix has `share` times all words; no source has more
     than `cap` times its own.
     """
-    per_source = plan(docs, weights, share, cap, quality_weight, seed)
-    rows = keyed(docs, quality_weight, seed).join(per_source, SOURCE)
-    taken = F.struct("place", "doc_id") <= F.col("cut")
-    copies = F.when(F.col("size") > 0, F.col("epochs") + taken.cast("long")).otherwise(F.lit(0)).cast("long")
-    return rows.withColumn("copies", copies).drop(*SOURCE, "place", "epochs", "cut")
+    rows = _decided(docs, {"source": F.col("source")}, weights, share, cap, quality_weight, seed)
+    return rows.select("doc_id", "source", "size", "source_size", "target", "copies")
 
 
-def mixed(docs: DataFrame, **options) -> DataFrame:
+def mixed(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), share: float = 1.5, cap: float = 2.0, quality_weight: Column | None = None, seed: int = 1) -> DataFrame:
     """The mix itself: each document as often as it is taken, with the columns of docs."""
-    rows = decide(docs.select(F.struct("*").alias("_row"), "doc_id", "text", "source"), **options)
+    rows = _decided(docs, {"_row": F.struct("*")}, weights, share, cap, quality_weight, seed)
     return rows.where("copies > 0").select(F.explode(F.array_repeat("_row", F.col("copies").cast("int"))).alias("_row")).select("_row.*")
