@@ -1,4 +1,10 @@
-"""From raw documents to token files: STAGES in order, each on what the one before it kept."""
+"""From raw documents to token files: STAGES in order, each on what the one before it kept.
+
+All stages keep rows with a null or repeated doc_id apart from one another, keep columns that they don't know whatever their names, read texts whole
+however long, and give an empty table for an empty one. Null and empty texts aren't toxic, have no near copies and no
+passages, and have no words, so the mix doesn't take them. Near copies are those with a similarity of 0.8 or more; of a group the smallest doc_id stays,
+a null one only if there is no other. Equal keys of the mix are taken in the order of doc_id. A document that the mix takes twice is two documents in the token files.
+"""
 
 from __future__ import annotations
 
