@@ -11,10 +11,10 @@ PERSON_WEIGHTS = ([10, 9, 8, 7, 6, 5, 4, 3, 2], [11, 10, 9, 8, 7, 6, 5, 4, 3, 2]
 
 
 def normalize_id(raw: Column) -> Column:
-    """Upper case without other marks than letters and digits; 12 or 13 characters get zeros to 14; else null unless 14 long."""
-    clean = F.regexp_replace(F.upper(F.trim(raw)), "[^0-9A-Z]", "")
-    padded = F.when(F.length(clean).between(12, 13), F.lpad(clean, 14, "0")).otherwise(clean)
-    return F.when(F.length(padded) == 14, padded)
+    """Upper case without other marks than letters and digits; 12 or 13 digits get zeros to 14, everything else stays as it is; null if nothing is left."""
+    clean = F.regexp_replace(F.upper(raw), "[^0-9A-Z]", "")
+    padded = F.when(clean.rlike(r"^[0-9]{12,13}\z"), F.lpad(clean, 14, "0")).otherwise(clean)
+    return F.when(clean != "", padded)
 
 
 def _digit(text: Column, weights: list[int], offset: int = 48) -> Column:

@@ -1,7 +1,6 @@
 """Concentration: Gini, top shares, Lorenz points, entropy, retention of the top.
 
-Ranks need an order over all units of a group. They are taken with a window over the group, which sorts one group in one
-task; for groups beyond a task, `gini_by_value` works from counts of equal values instead, which shrink before the window.
+Ranks and running sums come from ranges of the value (see ranks), so a group is never sorted in one task.
 """
 
 from __future__ import annotations
@@ -11,9 +10,12 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quillon.operators.ranks import running
+
 
 def _ranked(units: DataFrame, value: str, by: Sequence[str], tie: str) -> DataFrame:
-    return units.withColumn("_i", F.row_number().over(Window.partitionBy(*by).orderBy(F.col(value), F.col(tie))))
+    """Adds _i, the ascending rank, _i_all, the number of units, _c, the running sum, and _c_all, the sum."""
+    return running(units, by, value, {"_i": F.lit(1).cast("long"), "_c": F.col(value)}, tie)
 
 
 def gini(units: DataFrame, value: str, by: Sequence[str], tie: str) -> DataFrame:
@@ -25,9 +27,9 @@ def gini(units: DataFrame, value: str, by: Sequence[str], tie: str) -> DataFrame
 
 def gini_by_value(units: DataFrame, value: str, by: Sequence[str]) -> DataFrame:
     """The same number from counts of equal values: c units of value x have ranks b + 1 to b + c, whose sum is c b + c (c + 1) / 2."""
-    per = units.groupBy(*by, value).agg(F.count("*").alias("c"))
-    b = F.coalesce(F.sum("c").over(Window.partitionBy(*by).orderBy(value).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    per = running(units.groupBy(*by, value).agg(F.count("*").alias("c")), by, value, {"_upto": F.col("c")})
     c, x = F.col("c"), F.col(value)
+    b = F.col("_upto") - c
     per = per.withColumn("w", ((c * b + c * (c + 1) / 2).cast("decimal(38,1)") * x).cast("double"))
     r = per.groupBy(*by).agg(F.sum("c").alias("n"), F.sum((c * x).cast("decimal(38,4)")).cast("double").alias("s"), F.sum("w").alias("w"))
     n = F.col("n")
@@ -36,9 +38,7 @@ def gini_by_value(units: DataFrame, value: str, by: Sequence[str]) -> DataFrame:
 
 def gini_trapezoid(units: DataFrame, value: str, by: Sequence[str], tie: str) -> DataFrame:
     """1 - 2 times the area under the points of the ascending Lorenz curve, from its first point on, by trapezoids."""
-    w = Window.partitionBy(*by).orderBy(F.col(value), F.col(tie))
-    cum = F.sum(value).over(w.rowsBetween(Window.unboundedPreceding, 0))
-    r = units.withColumns({"_c": cum, "_i": F.row_number().over(w)}).groupBy(*by).agg(
+    r = _ranked(units, value, by, tie).groupBy(*by).agg(
         F.count("*").alias("n"), F.sum(value).cast("double").alias("s"), F.sum("_c").cast("double").alias("area"), F.min(F.when(F.col("_i") == 1, F.col("_c"))).cast("double").alias("first")
     )
     inner = (F.col("area") - (F.col("first") + F.col("s")) / 2) / F.col("s") / F.col("n")
@@ -46,32 +46,30 @@ def gini_trapezoid(units: DataFrame, value: str, by: Sequence[str], tie: str) ->
 
 
 def top_share(units: DataFrame, value: str, by: Sequence[str], tie: str, fraction: float, rounding: str = "ceil") -> DataFrame:
-    """Share of the total that the largest `fraction` of units holds: their number is ceil or half-even round of the product, 1 at least."""
-    w = Window.partitionBy(*by)
-    n = F.count("*").over(w)
+    """Share of the total that the largest `fraction` of units holds: their number is ceil or half-even round of the product, 1 at least.
+
+    Units of equal value count alike, so which of them are in the top doesn't matter.
+    """
+    r = _ranked(units, value, by, tie)
+    n = F.col("_i_all")
     k = F.greatest(F.lit(1), (F.ceil(n * fraction) if rounding == "ceil" else F.bround(n * F.lit(fraction), 0)).cast("long"))
-    i = F.row_number().over(w.orderBy(F.desc(value), F.col(tie)))
-    r = units.withColumns({"_k": k, "_i": i}).groupBy(*by).agg(F.max("_k").alias("top_units"), F.sum(F.when(F.col("_i") <= F.col("_k"), F.col(value))).cast("double").alias("t"), F.sum(value).cast("double").alias("s"))
+    r = r.withColumns({"_k": k, "_down": n - F.col("_i") + 1}).groupBy(*by)
+    r = r.agg(F.max("_k").alias("top_units"), F.sum(F.when(F.col("_down") <= F.col("_k"), F.col(value))).cast("double").alias("t"), F.sum(value).cast("double").alias("s"))
     return r.select(*by, "top_units", F.when(F.col("s") != 0, F.col("t") / F.col("s")).alias("top_share"))
 
 
 def units_for(units: DataFrame, value: str, by: Sequence[str], tie: str, share: float = 0.5) -> DataFrame:
-    """How many of the largest units it takes to reach a share of the total."""
-    w = Window.partitionBy(*by)
-    down = w.orderBy(F.desc(value), F.col(tie))
-    before = F.coalesce(F.sum(value).over(down.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    r = units.withColumns({"_b": before, "_s": F.sum(value).over(w)})
-    return r.groupBy(*by).agg(F.count("*").alias("units"), F.count_if(F.col("_b").cast("double") < share * F.col("_s").cast("double")).alias("units_needed"))
+    """How many of the largest units it takes to reach a share of the total: those before which, from the largest down, less than it is summed."""
+    r = _ranked(units, value, by, tie).withColumn("_before", F.col("_c_all") - F.col("_c"))
+    return r.groupBy(*by).agg(F.count("*").alias("units"), F.count_if(F.col("_before").cast("double") < share * F.col("_c_all").cast("double")).alias("units_needed"))
 
 
 def lorenz(units: DataFrame, value: str, by: Sequence[str], tie: str, points: int = 10) -> DataFrame:
     """Cumulative shares at `points` evenly spaced ranks, the last of them the last unit."""
-    w = Window.partitionBy(*by)
-    up = w.orderBy(F.col(value), F.col(tie))
-    r = units.withColumns({"_i": F.row_number().over(up), "_n": F.count("*").over(w), "_c": F.sum(value).over(up.rowsBetween(Window.unboundedPreceding, 0)), "_s": F.sum(value).over(w)})
-    step = F.floor(F.col("_i") * points / F.col("_n"))
-    earlier = F.floor((F.col("_i") - 1) * points / F.col("_n"))
-    return r.where(step > earlier).select(*by, step.cast("long").alias("point"), (F.col("_i") / F.col("_n")).alias("unit_share"), (F.col("_c").cast("double") / F.col("_s").cast("double")).alias("value_share"))
+    r = _ranked(units, value, by, tie)
+    step = F.floor(F.col("_i") * points / F.col("_i_all"))
+    earlier = F.floor((F.col("_i") - 1) * points / F.col("_i_all"))
+    return r.where(step > earlier).select(*by, step.cast("long").alias("point"), (F.col("_i") / F.col("_i_all")).alias("unit_share"), (F.col("_c").cast("double") / F.col("_c_all").cast("double")).alias("value_share"))
 
 
 def entropy(counts: DataFrame, n: str, by: Sequence[str]) -> DataFrame:

@@ -219,14 +219,15 @@ def membership_of_either_key(spark, sf_dir):
 
 
 @book.query(
-    """WITH a AS (SELECT debt_id, segment, enrolled FROM debts WHERE firm_id % 100 = 1), b AS (SELECT debt_id AS other, segment, enrolled AS day FROM debts WHERE firm_id % 100 = 2), n AS (SELECT unnest([0, 3, 7, 15, 30]) AS days),
+    """WITH a AS (SELECT debt_id, segment, enrolled FROM debts WHERE firm_id % 2 = 1), b AS (SELECT debt_id AS other, segment, enrolled AS day FROM debts WHERE firm_id % 2 = 0), n AS (SELECT unnest([0, 3, 7, 15, 30]) AS days),
 k AS (SELECT a.debt_id, n.days, count(b.other) AS block FROM a CROSS JOIN n LEFT JOIN b ON a.segment = b.segment AND abs(date_diff('day', a.enrolled, b.day)) <= n.days GROUP BY ALL)
 SELECT CAST(days AS INTEGER) AS days, count(*) FILTER (WHERE block = 1) AS unique_links, count(*) FILTER (WHERE block > 1) AS ambiguous, count(*) FILTER (WHERE block = 0) AS none FROM k GROUP BY days"""
 )
 def softlink_blocks(spark, sf_dir):
     d = tables.debts(spark, sf_dir)
-    left = d.where("firm_id % 100 = 1").select("debt_id", "segment", "enrolled")
-    right = d.where("firm_id % 100 = 2").select(F.col("debt_id").alias("other"), "segment", F.col("enrolled").alias("day"))
+    # two parties of all debts: those of odd and of even firms
+    left = d.where("firm_id % 2 = 1").select("debt_id", "segment", "enrolled")
+    right = d.where("firm_id % 2 = 0").select(F.col("debt_id").alias("other"), "segment", F.col("enrolled").alias("day"))
     return joins.soft_link(left, right, "debt_id", "segment", "enrolled", "day", (0, 3, 7, 15, 30))
 
 

@@ -106,11 +106,11 @@ book.queries["coverage_with_total"] = (lambda q: lambda spark, d: q(spark, d).wi
 
 @book.query(
     AGED
-    + """SELECT CASE WHEN GROUPING(band) = 1 THEN '(all)' ELSE band END AS band, GROUPING(band) = 1 AS is_total, count(DISTINCT debt_id) AS debts, quantile_cont(CAST(value AS DOUBLE), 0.5) AS median_value FROM aged WHERE year = 2000 GROUP BY GROUPING SETS ((band), ())"""
+    + """SELECT year, CASE WHEN GROUPING(band) = 1 THEN '(all)' ELSE band END AS band, GROUPING(band) = 1 AS is_total, count(DISTINCT debt_id) AS debts, quantile_cont(CAST(value AS DOUBLE), 0.5) AS median_value FROM aged GROUP BY GROUPING SETS ((year, band), (year))"""
 )
 def grouping_sets_age(spark, sf_dir):
-    _aged(spark, sf_dir).where("year = 2000").createOrReplaceTempView("_aged_2000")
-    return spark.sql("SELECT CASE WHEN grouping(band) = 1 THEN '(all)' ELSE band END AS band, grouping(band) = 1 AS is_total, count(DISTINCT debt_id) AS debts, percentile(value, 0.5) AS median_value FROM _aged_2000 GROUP BY GROUPING SETS ((band), ())")
+    _aged(spark, sf_dir).createOrReplaceTempView("_aged")
+    return spark.sql("SELECT year, CASE WHEN grouping(band) = 1 THEN '(all)' ELSE band END AS band, grouping(band) = 1 AS is_total, count(DISTINCT debt_id) AS debts, percentile(value, 0.5) AS median_value FROM _aged GROUP BY GROUPING SETS ((year, band), (year))")
 
 
 @book.query("SELECT firm_id, arg_max(status, (enrolled, status)) AS status, arg_max(segment, (enrolled, segment)) AS segment FROM debts GROUP BY firm_id")
@@ -125,9 +125,9 @@ def year_end_snapshot(spark, sf_dir):
     return p.groupBy("debt_id", F.year("paid_on").alias("year")).agg(F.month(F.max("paid_on")).alias("last_month"), F.count("*").alias("payments"), last.alias("last_amount"))
 
 
-@book.query(PANEL + "SELECT debt_id, year, CAST(paid AS DOUBLE) AS paid, CAST(stock AS DOUBLE) AS stock, round(CAST(paid AS DOUBLE) / nullif(CAST(stock AS DOUBLE), 0), 6) AS rate FROM panel WHERE segment = '1-URGENT'")
+@book.query(PANEL + "SELECT debt_id, year, CAST(paid AS DOUBLE) AS paid, CAST(stock AS DOUBLE) AS stock, round(CAST(paid AS DOUBLE) / nullif(CAST(stock AS DOUBLE), 0), 6) AS rate FROM panel")
 def panel_years(spark, sf_dir):
-    return _panel(spark, sf_dir).where("segment = '1-URGENT'").select("debt_id", "year", F.col("paid").cast("double").alias("paid"), F.col("stock").cast("double").alias("stock"), F.round("rate", 6).alias("rate"))
+    return _panel(spark, sf_dir).select("debt_id", "year", F.col("paid").cast("double").alias("paid"), F.col("stock").cast("double").alias("stock"), F.round("rate", 6).alias("rate"))
 
 
 _PAID_YEARS = "WITH y AS (SELECT debt_id, year(paid_on) AS year, CAST(sum(amount) AS DOUBLE) AS paid FROM payments GROUP BY ALL)"

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillon import tables
@@ -14,11 +13,6 @@ book = Book()
 KEY = b"a key for tests only"
 
 
-def _roots(spark: SparkSession, sf_dir: str) -> DataFrame:
-    root = F.lpad(F.conv(F.col("c_custkey").cast("string"), 10, 36), 12, "0")
-    return tables.read(spark, sf_dir, "customer").select("c_custkey", root.alias("root"))
-
-
 def _weighted(text: str, weights: list[int]) -> str:
     return " + ".join(f"(ascii(substr({text}, {i + 1}, 1)) - 48) * {w}" for i, w in enumerate(weights))
 
@@ -28,26 +22,28 @@ def _digit(text: str, weights: list[int]) -> str:
 
 
 @book.query(
-    "WITH a AS (SELECT c_custkey, lpad(CAST(c_custkey AS VARCHAR), 12, '0') AS r FROM customer), b AS (SELECT *, r || CAST("
+    "WITH a AS (SELECT c_custkey, substr(c_mktsegment, 1, 4) || lpad(CAST(c_custkey AS VARCHAR), 8, '0') AS r FROM customer), b AS (SELECT *, r || CAST("
     + _digit("r", ids.FIRM_WEIGHTS[0])
     + " AS VARCHAR) AS r1 FROM a), c AS (SELECT *, r1 || CAST("
     + _digit("r1", ids.FIRM_WEIGHTS[1])
     + " AS VARCHAR) AS firm FROM b) SELECT c_custkey, firm, firm <> repeat(substr(firm, 1, 1), 14) AS ok, regexp_replace(firm, '^(.{2})(.{3})(.{3})(.{4})(.{2})$', '\\1.\\2.\\3/\\4-\\5') AS masked, substr(firm, 1, 13) || CAST((CAST(substr(firm, 14, 1) AS INTEGER) + 1) % 10 AS VARCHAR) AS wrong, false AS wrong_ok FROM c"
 )
 def check_digits(spark, sf_dir):
-    a = tables.read(spark, sf_dir, "customer").select("c_custkey", ids.with_check_digits(F.lpad(F.col("c_custkey").cast("string"), 12, "0")).alias("firm"))
+    a = tables.read(spark, sf_dir, "customer").select("c_custkey", ids.with_check_digits(F.concat(F.left("c_mktsegment", F.lit(4)), F.lpad(F.col("c_custkey").cast("string"), 8, "0"))).alias("firm"))
     wrong = F.concat(F.substring("firm", 1, 13), ((F.substring("firm", 14, 1).cast("int") + 1) % 10).cast("string"))
     a = a.withColumn("wrong", wrong)
     return a.select("c_custkey", "firm", ids.firm_id_ok(F.col("firm")).alias("ok"), ids.firm_mask(F.col("firm")).alias("masked"), "wrong", ids.firm_id_ok(F.col("wrong")).alias("wrong_ok"))
 
 
+#: What ids look like in the sources: letters, marks, lost zeros, and nothing at all.
+_RAW_ID = "CASE c_custkey % 6 WHEN 0 THEN concat(' ab.', lpad(CAST(c_custkey AS {text}), 7, '0'), '/0001-') WHEN 1 THEN CAST(100000000000 + c_custkey AS {text}) WHEN 2 THEN CAST(c_custkey AS {text}) WHEN 3 THEN ' .-/ ' WHEN 4 THEN concat('AB', CAST(10000000000 + c_custkey AS {text})) ELSE concat('2.345.678/0001-', lpad(CAST(c_custkey % 100 AS {text}), 2, '0')) END"
+
+
 @book.query(
-    "WITH r AS (SELECT c_custkey, CASE c_custkey % 4 WHEN 0 THEN ' ab.' || c_custkey || '/0001-9 ' WHEN 1 THEN CAST(100000000000 + c_custkey AS VARCHAR) WHEN 2 THEN CAST(c_custkey AS VARCHAR) ELSE '12.345.678/0001-' || lpad(CAST(c_custkey % 100 AS VARCHAR), 2, '0') END AS raw FROM customer), k AS (SELECT c_custkey, regexp_replace(upper(trim(raw)), '[^0-9A-Z]', '', 'g') AS x FROM r) SELECT c_custkey, CASE WHEN length(x) IN (12, 13) THEN lpad(x, 14, '0') WHEN length(x) = 14 THEN x END AS firm FROM k"
+    f"WITH r AS (SELECT c_custkey, regexp_replace(upper({_RAW_ID.format(text='VARCHAR')}), '[^0-9A-Z]', '', 'g') AS x FROM customer) SELECT c_custkey, CASE WHEN x = '' THEN NULL WHEN regexp_full_match(x, '[0-9]{{12,13}}') THEN lpad(x, 14, '0') ELSE x END AS firm FROM r"
 )
 def id_normalize(spark, sf_dir):
-    k = F.col("c_custkey")
-    raw = F.when(k % 4 == 0, F.concat(F.lit(" ab."), k, F.lit("/0001-9 "))).when(k % 4 == 1, (k + 100_000_000_000).cast("string")).when(k % 4 == 2, k.cast("string")).otherwise(F.concat(F.lit("12.345.678/0001-"), F.lpad((k % 100).cast("string"), 2, "0")))
-    return tables.read(spark, sf_dir, "customer").select("c_custkey", ids.normalize_id(raw).alias("firm"))
+    return tables.read(spark, sf_dir, "customer").select("c_custkey", ids.normalize_id(F.expr(_RAW_ID.format(text="STRING"))).alias("firm"))
 
 
 @book.query("SELECT CAST(CAST('0x' || substr(md5(c_name), 1, 8) AS BIGINT) % 16 AS BIGINT) AS bucket, count(*) AS n FROM customer GROUP BY ALL", roles=False)
@@ -93,11 +89,11 @@ def regime_by_year(spark, sf_dir):
 
 
 @book.query(
-    """WITH e AS (SELECT DISTINCT o_custkey AS source, 's' || l_suppkey AS target FROM orders JOIN lineitem ON o_orderkey = l_orderkey WHERE l_quantity > 45), b AS (SELECT source AS id, count(*) AS degree FROM e GROUP BY ALL)
+    """WITH e AS (SELECT DISTINCT o_custkey AS source, 's' || l_suppkey AS target FROM orders JOIN lineitem ON o_orderkey = l_orderkey), b AS (SELECT source AS id, count(*) AS degree FROM e GROUP BY ALL)
 SELECT degree, count(*) AS nodes FROM b GROUP BY degree"""
 )
 def graph_degree(spark, sf_dir):
-    o, line = tables.read(spark, sf_dir, "orders"), tables.read(spark, sf_dir, "lineitem").where("l_quantity > 45")
+    o, line = tables.read(spark, sf_dir, "orders"), tables.read(spark, sf_dir, "lineitem")
     e = line.join(o, F.col("o_orderkey") == F.col("l_orderkey")).select(F.col("o_custkey").alias("source"), F.concat(F.lit("s"), "l_suppkey").alias("target"))
     return registry.degrees(e).where("side = 'source'").groupBy("degree").agg(F.count("*").alias("nodes"))
 
@@ -184,19 +180,15 @@ def stratified_draw(spark, sf_dir):
 
 
 @book.query(
-    "WITH r AS (SELECT debt_id, firm_id, row_number() OVER (PARTITION BY firm_id ORDER BY md5('c' || debt_id), debt_id) AS i FROM debts WHERE firm_id % 5 = 0), c AS (SELECT * FROM r WHERE i <= 3) SELECT debt_id, firm_id FROM c ORDER BY md5('t' || debt_id), debt_id LIMIT 200"
+    "WITH r AS (SELECT debt_id, firm_id, row_number() OVER (PARTITION BY firm_id ORDER BY md5('c' || debt_id), debt_id) AS i FROM debts), c AS (SELECT * FROM r WHERE i <= 3) SELECT debt_id, firm_id FROM c ORDER BY md5('t' || debt_id), debt_id LIMIT 200"
 )
 def cluster_sample(spark, sf_dir):
-    d = tables.debts(spark, sf_dir).where("firm_id % 5 = 0").select("debt_id", "firm_id")
+    d = tables.debts(spark, sf_dir).select("debt_id", "firm_id")
     one = d.groupBy("firm_id").agg(F.lit(3).cast("long").alias("take"))
     capped = registry.draw(d, one, "firm_id", F.md5(F.concat(F.lit("c"), "debt_id")), "debt_id")
     return capped.orderBy(F.md5(F.concat(F.lit("t"), "debt_id")), "debt_id").limit(200)
 
 
-def _text(c: Column) -> Column:
-    return c.cast("string")
-
-
 @book.query("SELECT segment, count(*) AS \"count\", count(DISTINCT firm_id) AS count_distinct_firm_id, CAST(sum(CAST(value AS DECIMAL(18,4))) AS DOUBLE) AS sum_value, max(value) AS max_value FROM debts WHERE status = 'O' GROUP BY segment")
 def dataset_aggregate(spark, sf_dir):
     d = tables.debts(spark, sf_dir)

@@ -20,11 +20,10 @@ SELECT coalesce(e.month, p.month) AS month, coalesce(enrolled_value, 0) AS enrol
 
 
 @book.query(
-    "WITH p AS (SELECT paid_on AS day, count(*) AS n, CAST(sum(amount) AS DOUBLE) AS paid FROM payments WHERE debt_id % 50 = 0 GROUP BY ALL) SELECT CAST(s.day AS DATE) AS day, coalesce(n, 0) AS n, coalesce(paid, 0) AS paid FROM (SELECT unnest(generate_series((SELECT min(day) FROM p), (SELECT max(day) FROM p), INTERVAL 1 DAY)) AS day) s LEFT JOIN p ON p.day = s.day"
+    "WITH p AS (SELECT paid_on AS day, count(*) AS n, CAST(sum(amount) AS DOUBLE) AS paid FROM payments GROUP BY ALL) SELECT CAST(s.day AS DATE) AS day, coalesce(n, 0) AS n, coalesce(paid, 0) AS paid FROM (SELECT unnest(generate_series((SELECT min(day) FROM p), (SELECT max(day) FROM p), INTERVAL 1 DAY)) AS day) s LEFT JOIN p ON p.day = s.day"
 )
 def calendar_spine_daily(spark, sf_dir):
-    rows = tables.payments(spark, sf_dir).where("debt_id % 50 = 0")
-    return panel.daily_spine(rows, "paid_on", {"n": F.count("*"), "paid": F.sum("amount").cast("double")})
+    return panel.daily_spine(tables.payments(spark, sf_dir), "paid_on", {"n": F.count("*"), "paid": F.sum("amount").cast("double")})
 
 
 @book.query("SELECT CAST(date_trunc('week', paid_on) + INTERVAL 6 DAY AS DATE) AS week, count(*) AS n, CAST(sum(amount) AS DOUBLE) AS paid FROM payments GROUP BY ALL")
@@ -69,15 +68,15 @@ def forward_fill(spark, sf_dir):
 
 
 @book.query(
-    "WITH m AS (SELECT year(paid_on) * 12 + month(paid_on) AS m, round((count(*) % 7) / 10.0, 1) AS r FROM payments WHERE debt_id % 10 = 0 GROUP BY ALL), c AS (SELECT m, exp(sum(ln(1 + r / 100)) OVER (ORDER BY m ROWS UNBOUNDED PRECEDING)) AS x FROM m) SELECT m, round(x / (SELECT x FROM c WHERE m = 2000 * 12 + 12), 9) AS price FROM c"
+    "WITH m AS (SELECT year(paid_on) * 12 + month(paid_on) AS m, round((count(*) % 7) / 10.0, 1) AS r FROM payments GROUP BY ALL), c AS (SELECT m, exp(sum(ln(1 + r / 100)) OVER (ORDER BY m ROWS UNBOUNDED PRECEDING)) AS x FROM m) SELECT m, round(x / (SELECT x FROM c WHERE m = 2000 * 12 + 12), 9) AS price FROM c"
 )
 def price_index_chain(spark, sf_dir):
-    p = tables.payments(spark, sf_dir).where("debt_id % 10 = 0").groupBy((F.year("paid_on") * 12 + F.month("paid_on")).alias("m")).agg(F.round((F.count("*") % 7) / 10.0, 1).alias("r"))
+    p = tables.payments(spark, sf_dir).groupBy((F.year("paid_on") * 12 + F.month("paid_on")).alias("m")).agg(F.round((F.count("*") % 7) / 10.0, 1).alias("r"))
     level, rebase = panel.chained_index("r", "m", F.col("m") == 2000 * 12 + 12)
     return p.withColumn("x", level).select("m", F.round(rebase(F.col("x")), 9).alias("price"))
 
 
-_MONTHS = "WITH m AS (SELECT CAST(date_trunc('month', enrolled) AS DATE) AS month, CAST(count(*) AS BIGINT) AS n FROM debts WHERE debt_id % 16 < 3 AND month(enrolled) <> 5 GROUP BY ALL)"
+_MONTHS = "WITH m AS (SELECT CAST(date_trunc('month', enrolled) AS DATE) AS month, CAST(count(*) AS BIGINT) AS n FROM debts GROUP BY ALL)"
 
 
 @book.query(
@@ -85,7 +84,7 @@ _MONTHS = "WITH m AS (SELECT CAST(date_trunc('month', enrolled) AS DATE) AS mont
     + ", s AS (SELECT CAST(unnest(generate_series((SELECT min(month) FROM m), (SELECT max(month) FROM m), INTERVAL 1 MONTH)) AS DATE) AS month), j AS (SELECT s.month, n, CASE WHEN count(n) OVER w >= 3 THEN quantile_cont(CAST(n AS DOUBLE), 0.5) OVER w END AS median7 FROM s LEFT JOIN m USING (month) WINDOW w AS (ORDER BY s.month ROWS BETWEEN 3 PRECEDING AND 3 FOLLOWING)) SELECT month, n, median7, n IS NULL AS absent, coalesce(n < 0.8 * median7, false) AS partial FROM j"
 )
 def quality_flags_months(spark, sf_dir):
-    m = tables.debts(spark, sf_dir).where("debt_id % 16 < 3 and month(enrolled) <> 5").groupBy(F.trunc("enrolled", "month").alias("month")).agg(F.count("*").alias("n"))
+    m = tables.debts(spark, sf_dir).groupBy(F.trunc("enrolled", "month").alias("month")).agg(F.count("*").alias("n"))
     return panel.month_quality(m, "n")
 
 
@@ -104,7 +103,7 @@ book.sql(
     "SELECT segment, year, n, CAST(sum(n) OVER (PARTITION BY segment ORDER BY year) AS BIGINT) AS running, round(exp(sum(ln(1 + n / 10000.0D)) OVER (PARTITION BY segment ORDER BY year)), 9) AS product, CAST(count(*) OVER (PARTITION BY n % 3) AS BIGINT) AS peers FROM (SELECT segment, year(enrolled) AS year, count(*) AS n FROM debts GROUP BY segment, year(enrolled))",
     "SELECT segment, year, n, CAST(sum(n) OVER (PARTITION BY segment ORDER BY year) AS BIGINT) AS running, round(exp(sum(ln(1 + n / 10000.0)) OVER (PARTITION BY segment ORDER BY year)), 9) AS product, count(*) OVER (PARTITION BY n % 3) AS peers FROM (SELECT segment, year(enrolled) AS year, count(*) AS n FROM debts GROUP BY ALL)",
 )
-book.sql("two_way_row_numbers", "SELECT firm_id, debt_id, row_number() OVER (PARTITION BY firm_id ORDER BY enrolled, debt_id) AS from_first, row_number() OVER (PARTITION BY firm_id ORDER BY enrolled DESC, debt_id DESC) AS from_last, CAST(count(*) OVER (PARTITION BY firm_id) AS BIGINT) AS n FROM debts WHERE segment = '5-LOW'")
+book.sql("two_way_row_numbers", "SELECT firm_id, debt_id, row_number() OVER (PARTITION BY firm_id ORDER BY enrolled, debt_id) AS from_first, row_number() OVER (PARTITION BY firm_id ORDER BY enrolled DESC, debt_id DESC) AS from_last, CAST(count(*) OVER (PARTITION BY firm_id) AS BIGINT) AS n FROM debts")
 book.sql("month_arithmetic", "SELECT ym, CAST(((ym DIV 100) * 12 + ym % 100 - 1 + 5) DIV 12 * 100 + ((ym DIV 100) * 12 + ym % 100 - 1 + 5) % 12 + 1 AS INT) AS later, CAST(count(*) AS BIGINT) AS n FROM (SELECT year(enrolled) * 100 + month(enrolled) AS ym FROM debts) GROUP BY ym", "SELECT CAST(year(enrolled) * 100 + month(enrolled) AS INTEGER) AS ym, CAST(strftime(date_trunc('month', min(enrolled)) + INTERVAL 5 MONTH, '%Y%m') AS INTEGER) AS later, count(*) AS n FROM debts GROUP BY 1")
-book.sql("duration_half_even", "SELECT debt_id, CAST(bround(datediff(DATE '2001-12-31', enrolled) / 30.44D, 2) AS DOUBLE) AS months, floor(year(enrolled) / 10) * 10 AS decade FROM debts WHERE debt_id % 7 = 0", "SELECT debt_id, round_even(date_diff('day', enrolled, DATE '2001-12-31') / 30.44::DOUBLE, 2) AS months, CAST(year(enrolled) // 10 * 10 AS BIGINT) AS decade FROM debts WHERE debt_id % 7 = 0")
+book.sql("duration_half_even", "SELECT debt_id, CAST(bround(datediff(DATE '2001-12-31', enrolled) / 30.44D, 2) AS DOUBLE) AS months, floor(year(enrolled) / 10) * 10 AS decade FROM debts", "SELECT debt_id, round_even(date_diff('day', enrolled, DATE '2001-12-31') / 30.44::DOUBLE, 2) AS months, CAST(year(enrolled) // 10 * 10 AS BIGINT) AS decade FROM debts")
 book.sql("annual_mean_and_december", "SELECT year(month) AS year, round(avg(v), 4) AS mean, max(CASE WHEN month(month) = 12 THEN v END) AS december FROM (SELECT CAST(date_trunc('month', enrolled) AS DATE) AS month, CAST(count(*) AS DOUBLE) AS v FROM debts GROUP BY 1) GROUP BY year(month)")

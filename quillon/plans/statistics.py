@@ -55,10 +55,10 @@ def chi2_cramers_v(spark, sf_dir):
 
 
 @book.query(
-    "WITH p AS (SELECT p_partkey AS id, pow((p_partkey * 7919) % 1009 / 1009.0, 3) AS p FROM part WHERE p_partkey < 400), r AS (SELECT *, row_number() OVER (ORDER BY p, id) AS r, count(*) OVER () AS m FROM p) SELECT id, round(p, 12) AS p, round(least(1.0, min(p * m / r) OVER (ORDER BY r DESC)), 12) AS adjusted FROM r", roles=False
+    "WITH p AS (SELECT p_partkey AS id, pow((p_partkey * 7919) % 1009 / 1009.0, 3) AS p FROM part), r AS (SELECT *, row_number() OVER (ORDER BY p, id) AS r, count(*) OVER () AS m FROM p) SELECT id, round(p, 12) AS p, round(least(1.0, min(p * m / r) OVER (ORDER BY r DESC)), 12) AS adjusted FROM r", roles=False
 )
 def bh_adjust(spark, sf_dir):
-    p = tables.read(spark, sf_dir, "part").where("p_partkey < 400").select(F.col("p_partkey").alias("id"), F.pow((F.col("p_partkey") * 7919) % 1009 / 1009.0, F.lit(3.0)).alias("p"))
+    p = tables.read(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), F.pow((F.col("p_partkey") * 7919) % 1009 / 1009.0, F.lit(3.0)).alias("p"))
     return _rounded(tests.benjamini_hochberg(p, "p"), 12)
 
 
@@ -182,7 +182,12 @@ def model_confidence_set(spark, sf_dir):
     return models.confidence_set(m.unpivot("m", ["seasonal", "last"], "model", "loss"), "model", "m", "loss")
 
 
-@book.query("WITH d AS (SELECT segment, ntile(10) OVER (ORDER BY value, debt_id) AS tile, value FROM debts) SELECT CAST(tile AS INTEGER) AS tile, count(*) AS n, min(value) AS low, max(value) AS high FROM d GROUP BY tile")
+@book.query(
+    "WITH r AS (SELECT value, status, rank() OVER (ORDER BY value) + (count(*) OVER (PARTITION BY value) - 1) / 2 AS r, count(*) OVER () AS n FROM (SELECT round(value, -4) AS value, status FROM debts)), d AS (SELECT CAST(ceil(r * 10 / n) AS INTEGER) AS decile, value, status FROM r) SELECT decile, count(*) AS n, round(100.0 * count(*) FILTER (WHERE status = 'O') / count(*), 6)::DOUBLE AS percent_open, min(value) AS low, max(value) AS high FROM d GROUP BY decile"
+)
 def deciles(spark, sf_dir):
-    d = tables.debts(spark, sf_dir).select("value", F.ntile(10).over(Window.orderBy("value", "debt_id")).alias("tile"))
-    return d.groupBy("tile").agg(F.count("*").alias("n"), F.min("value").alias("low"), F.max("value").alias("high"))
+    d = tables.debts(spark, sf_dir).select(F.round("value", -4).alias("value"), "status")
+    ranked = tests.value_ranks(d, "value", "status").withColumn("n", F.lit(d.count()))
+    ranked = ranked.withColumn("decile", F.ceil(F.col("rank") * 10 / F.col("n")).cast("int"))
+    share = F.round(100.0 * F.sum(F.when(F.col("g") == "O", F.col("c")).otherwise(0)) / F.sum("c"), 6)
+    return ranked.groupBy("decile").agg(F.sum("c").alias("n"), share.alias("percent_open"), F.min("v").alias("low"), F.max("v").alias("high"))

@@ -15,9 +15,9 @@ book = Book()
 RULES = (("(?i)total", "total"), ("(?i)pf|tz", "german_sound"), ("^[A-Z]{2}", "capitals"), ("[0-9]", "digits"), ("tion", "tion"))
 
 
-@book.query("SELECT trim(split_part(ltrim(text), chr(10), 1)) AS line, count(*) AS n FROM documents WHERE length(text) < 400 GROUP BY ALL", roles=False)
+@book.query("SELECT trim(split_part(ltrim(text), chr(10), 1)) AS line, count(*) AS n FROM documents GROUP BY ALL", roles=False)
 def first_line_frequency(spark, sf_dir):
-    d = tables.read(spark, sf_dir, "documents").where("length(text) < 400")
+    d = tables.read(spark, sf_dir, "documents")
     return d.groupBy(text.first_line(F.col("text")).alias("line")).agg(F.count("*").alias("n"))
 
 
@@ -47,7 +47,7 @@ def json_fields(spark, sf_dir):
     return e.groupBy("event_type", "k").agg(F.count("*").alias("n"))
 
 
-_MOVES = "WITH m AS (SELECT conv_id, list({'turn': turn, 'role': role} ORDER BY turn) AS moves FROM conversations WHERE turn > 0 GROUP BY conv_id), a AS (SELECT c.conv_id, m.moves FROM (SELECT DISTINCT conv_id FROM conversations) c LEFT JOIN m USING (conv_id))"
+_MOVES = "WITH m AS (SELECT conv_id, list({'turn': turn, 'role': role} ORDER BY turn) AS moves FROM conversations GROUP BY conv_id), a AS (SELECT c.conv_id, m.moves FROM (SELECT conv_id FROM conversations UNION SELECT -1 - conv_id FROM conversations) c LEFT JOIN m USING (conv_id))"
 
 
 @book.query(
@@ -55,8 +55,9 @@ _MOVES = "WITH m AS (SELECT conv_id, list({'turn': turn, 'role': role} ORDER BY
 )
 def json_explode(spark, sf_dir):
     c = tables.read(spark, sf_dir, "conversations")
-    lists = c.where("turn > 0").groupBy("conv_id").agg(F.to_json(F.sort_array(F.collect_list(F.struct("turn", "role")))).alias("moves"))
-    parents = c.select("conv_id").distinct().join(lists, "conv_id", "left")
+    lists = c.groupBy("conv_id").agg(F.to_json(F.sort_array(F.collect_list(F.struct("turn", "role")))).alias("moves"))
+    # every other parent, of a negative id, has no movements
+    parents = c.select(F.explode(F.array("conv_id", -1 - F.col("conv_id"))).alias("conv_id")).distinct().join(lists, "conv_id", "left")
     return records.explode_moves(parents, "conv_id", "moves", "turn bigint, role string")
 
 
@@ -70,10 +71,10 @@ _TOKENS = "list_distinct(list_filter(regexp_split_to_array(lower(text), '[^\\pL\
 
 
 @book.query(
-    f"WITH b AS (SELECT item_id, {_TOKENS} AS t FROM benchmark WHERE item_id < 40) SELECT a.item_id AS first_item, b.item_id AS second_item, round(len(list_intersect(a.t, b.t)) / len(list_distinct(list_concat(a.t, b.t))), 6) AS jaccard FROM b a JOIN b ON b.item_id = a.item_id + 1", roles=False
+    f"WITH b AS (SELECT item_id, {_TOKENS} AS t FROM benchmark) SELECT a.item_id AS first_item, b.item_id AS second_item, round(len(list_intersect(a.t, b.t)) / len(list_distinct(list_concat(a.t, b.t))), 6) AS jaccard FROM b a JOIN b ON b.item_id = a.item_id + 1", roles=False
 )
 def token_jaccard(spark, sf_dir):
-    b = tables.read(spark, sf_dir, "benchmark").where("item_id < 40").select("item_id", text.tokens(F.col("text")).alias("t"))
+    b = tables.read(spark, sf_dir, "benchmark").select("item_id", text.tokens(F.col("text")).alias("t"))
     nxt = b.select((F.col("item_id") - 1).alias("item_id"), F.col("item_id").alias("second_item"), F.col("t").alias("t2"))
     return b.join(nxt, "item_id").select(F.col("item_id").alias("first_item"), "second_item", F.round(text.token_jaccard(F.col("t"), F.col("t2")), 6).alias("jaccard"))
 

@@ -1,7 +1,7 @@
 """Rank and contingency tests. Statistics are DataFrame aggregates over all rows; only their small tables reach the driver for p-values.
 
-Ranks over all rows would sort them in one task. Rows shrink to counts of equal values first; the window then runs over
-distinct values, and average ranks follow from running counts.
+Ranks over all rows would sort them in one task. Rows shrink to counts of equal values first; running counts over ranges of
+distinct values then give average ranks, so no task holds more than a range.
 """
 
 from __future__ import annotations
@@ -11,6 +11,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quillon.operators.ranks import running
 from quillon.stats import special
 
 
@@ -19,9 +20,8 @@ def value_ranks(rows: DataFrame, value: str, group: str | None = None) -> DataFr
     keys = [F.col(value).alias("v"), *([F.col(group).alias("g")] if group else [])]
     per = rows.where(F.col(value).isNotNull()).groupBy(*keys).agg(F.count("*").alias("c"))
     ties = per.groupBy("v").agg(F.sum("c").alias("t"))
-    before = F.coalesce(F.sum("t").over(Window.orderBy("v").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    ranked = ties.withColumn("rank", before + (F.col("t") + 1) / 2)
-    return per.join(ranked, "v")
+    ranked = running(ties, [], "v", {"upto": F.col("t")}).withColumn("rank", F.col("upto") - (F.col("t") - 1) / 2)
+    return per.join(ranked.select("v", "t", "rank"), "v")
 
 
 def kruskal_wallis(rows: DataFrame, value: str, group: str) -> DataFrame:
@@ -85,8 +85,8 @@ def benjamini_hochberg(tests: DataFrame, p: str) -> DataFrame:
 def ks_two_sample(rows: DataFrame, value: str, group: str, first: object, second: object) -> DataFrame:
     """One row: the largest distance of the two distribution functions, and its asymptotic p."""
     per = rows.where(F.col(group).isin([first, second]) & F.col(value).isNotNull()).groupBy(F.col(value).alias("v")).agg(F.count_if(F.col(group) == F.lit(first)).alias("a"), F.count_if(F.col(group) == F.lit(second)).alias("b"))
-    up, all_ = Window.orderBy("v").rowsBetween(Window.unboundedPreceding, 0), Window.partitionBy()
-    gap = F.abs(F.sum("a").over(up) / F.sum("a").over(all_) - F.sum("b").over(up) / F.sum("b").over(all_))
+    per = running(per, [], "v", {"up_a": F.col("a"), "up_b": F.col("b")})
+    gap = F.abs(F.col("up_a") / F.col("up_a_all") - F.col("up_b") / F.col("up_b_all"))
     one = per.select(gap.alias("gap"), "a", "b").agg(F.max("gap").alias("d"), F.sum("a").alias("n"), F.sum("b").alias("m")).first()
     if not one["n"] or not one["m"]:
         return rows.sparkSession.createDataFrame([], "d double, p double")
