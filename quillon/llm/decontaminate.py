@@ -12,7 +12,8 @@ count seeds and once to align; documents aren't moved. A block's bytes are bound
 
 Null and empty items match nothing, nor do null and empty documents. Items with fewer words than a seed are one seed
 as a whole. Equal items are matched each for itself; rows with the same doc_id are joined to one result row per item, with
-the best score. Either table empty: an empty result.
+the best score, and of equal scores the first place; rows with a null doc_id are joined alike. Very long documents are read whole; only the words around hits are
+aligned. Other columns are ignored, whatever their names, and kept by `keep_uncontaminated`. Either table empty: an empty result.
 """
 
 from __future__ import annotations

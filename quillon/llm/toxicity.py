@@ -8,11 +8,14 @@ toxic ones don't, doesn't count. A document's summed weight by the root of its l
 logistic curve fitted to the same labels, so scores are probabilities.
 
 Learning uses at most about MAX_LABELLED labelled documents, drawn by a hash of doc_id; that bounds the lexicon's cost
-however many labels there are. Scoring reads every whole text and moves no data.
+however many labels there are. The model is bounded, too: MAX_CANDIDATES terms, those in most toxic documents, are tried, of which the MAX_TERMS with the
+greatest weight by logarithm of support stay, and MAX_EXCEPTIONS phrases, those in most clean documents; equal ones go by the alphabet. Scoring reads
+every whole text, however long, in time proportional to it, and moves no data.
 
 Null and empty texts score as texts without a hit. Without labels of both kinds every score is the share of toxic labels
 (0.5 / 1 without labels). Of several labels of a document the largest counts; null labels don't. Rows with
-the same doc_id are scored each for itself. An empty table gives an empty result.
+the same doc_id, or a null one, are scored each for itself. Of other columns, whatever their names, only `keep_clean` returns any: all of them. An empty table
+gives an empty result.
 """
 
 from __future__ import annotations
@@ -33,6 +36,7 @@ from pyspark.sql import functions as F
 
 from quillon.llm.common import materialize, tune
 
+#: Bounds of what the model is fitted on and of what it holds.
 MAX_LABELLED = 20_000
 MAX_CANDIDATES = 50_000
 MAX_TERMS = 2_000
@@ -96,8 +100,8 @@ class Model:
                     elif w > best.get(start, 0):
                         best[start] = w
             for a, b in spared:
-                for at in [x for x in best if a <= x < b]:
-                    del best[at]
+                for at in range(a, b):
+                    best.pop(at, None)
             total = sum(best.values())
             return 1.0, total / math.sqrt(folded.count(" ") + 20), max(best.values(), default=0.0)
 
