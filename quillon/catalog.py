@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quillon.plans import analytics, forms, portfolio, registry, series, statistics, streams, texts
+from quillon.plans import analytics, forms, portfolio, registry, series, statistics, stored, streams, texts
 
 Query = Callable[[SparkSession, str], DataFrame]
-BOOKS = (portfolio.book, analytics.book, series.book, registry.book, texts.book, forms.book, statistics.book, streams.book)
+BOOKS = (portfolio.book, analytics.book, series.book, registry.book, texts.book, forms.book, stored.book, statistics.book, streams.book)
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:

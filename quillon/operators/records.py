@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import itertools
 import re
 from collections.abc import Iterable, Iterator, Sequence
 
@@ -120,12 +121,12 @@ def extract_mentions(rows: DataFrame, key: str, column: str) -> DataFrame:
             out = []
             for k, text in zip(b[key], b[column], strict=True):
                 found = list(_CANDIDATE.finditer(text or ""))
+                listed = [re.fullmatch(r"[\s,;/-]*", text[a.end() : c.start()]) is not None for a, c in itertools.pairwise(found)]
                 for i, m in enumerate(found):
                     firm = re.sub(r"[^0-9A-Z]", "", m.group())
                     if not check_digits_hold(firm):
                         continue
-                    run_of = sum(1 for a, c in zip(found, found[1:], strict=False) if re.fullmatch(r"[\s,;/-]*", text[a.end() : c.start()]) and abs(found.index(a) - i) < 3)
-                    if run_of >= 2:
+                    if sum(listed[max(0, i - 2) : i + 3]) >= 2:
                         continue
                     before = text[max(0, m.start() - 80) : m.start()]
                     rule, confidence = next(((r, c) for p, r, c in MENTION_RULES if re.search(p, before)), ("other", 0.3))

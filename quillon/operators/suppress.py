@@ -26,8 +26,8 @@ def suppress(
     so distinct units are counted once. With `whole` a value of pool_key is pooled everywhere if any of its cells is small. A
     pool that is still small keeps its row with null measures. Null keys are values like others.
 
-    Rows are reduced to one per (keys, unit) before anything is counted distinct, so the two aggregations shuffle that many rows
-    at most; the flags are one row per cell.
+    Units are counted distinct twice, before and after pooling; Spark first reduces each count to rows of (keys, unit). Measures are
+    aggregates of any kind, so they are taken of the rows. The flags are one row per cell.
     """
     pool_key = pool_key or keys[-1]
     small = rows.groupBy(*keys).agg(F.count_distinct(unit).alias("_n")).where(F.col("_n") < least)

@@ -44,8 +44,13 @@ def csv(spark: SparkSession, path: str, columns: Sequence[str], sep: str = ";",
     return parsed.where(~bad).select(*(F.col(f"_f.{c}").alias(c) for c in columns)), parsed.where(bad).select("line")
 
 
+def write_csv(df: DataFrame, path: str, sep: str = ";", compression: str = "gzip", header: bool = False) -> None:
+    """A folder of CSV files in UTF-8, every field quoted, quotes doubled; null is an empty field without quotes."""
+    df.write.option("sep", sep).option("quote", '"').option("escape", '"').option("quoteAll", "true").option("emptyValue", '""').option("compression", compression).option("header", header).csv(path)
+
+
 def zip_members(spark: SparkSession, path: str, suffix: str = ".csv", encoding: str = "cp1252", limit: int = 1 << 31) -> DataFrame:
-    """(archive, member, number, line) of all text members of zip archives; an archive is read as a stream by one task.
+    """(archive, member, number, line) of all text members of zip archives; one task holds an archive's compressed bytes (2 GB at most) and unpacks a line at a time.
 
     A member whose stated size exceeds `limit` is refused, so an archive can't unpack without bound.
     """

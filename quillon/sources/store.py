@@ -47,7 +47,11 @@ class Files:
 
 
 class Table:
-    """A Parquet table that is replaced as a whole: a new version is written beside the old one and swapped in by renames."""
+    """A Parquet table that is replaced as a whole: a new version is written beside the old one and swapped in by renames.
+
+    One writer at a time: two would share the names of the new and the old version. A reader between the two renames finds the
+    new version by `recover`.
+    """
 
     def __init__(self, spark: SparkSession, path: str):
         self.spark, self.path, self.files = spark, path.rstrip("/"), Files(spark, path)
