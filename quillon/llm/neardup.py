@@ -9,12 +9,11 @@ Documents with equal sets become one node first, so exact copies cost nothing fu
 whose doc_ids are equal or null stay apart. In each bucket the smallest node
 is the leader, and only leader and member are compared: as many candidates as bucket rows, whatever a group's
 size. Candidates with too different set sizes or signatures are dropped, before any text moves; the others are confirmed
-on the full sets, recomputed from the whole texts, and the links' components found. Then
-buckets whose members are in several components get another leader, the smallest of the members not yet together
-with an earlier leader, for `rounds` rounds or until nothing is left over. At last, in buckets whose members are still in
-several components, all pairs across components are compared that weren't yet: by set sizes and signatures in blocks of at most
-BLOCK members each, and those that pass on the full sets. So every pair that shares a bucket is together or was compared.
-No group is gathered.
+on the full sets, recomputed from the whole texts, and the links' components found. What stars can't tell are links between members of a bucket that
+aren't linked with its leader. So in buckets whose members are still in several components these are compared with one another, by signatures and
+then on the full sets, within a task: members are dealt to blocks of bounded number and length, each pair of blocks is a group, and a group
+returns only links that join components, fewer than it has members. Every pair that shares a bucket is together or was compared, no pairs are written out and no group is gathered. A
+large group of documents just below the threshold costs the square of its size in comparisons, not in rows.
 
 Signatures drop a candidate that has eight standard deviations fewer equal bins than a pair at the threshold has on average: of a million
 pairs at the threshold, with sets of 5 to 2000 shingles, none was dropped (see the tests for a smaller run).
@@ -31,7 +30,6 @@ import hashlib
 import math
 from collections import OrderedDict
 from collections.abc import Iterable, Iterator
-from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -43,8 +41,8 @@ from quillon.llm.common import WordHashes, components, grams, materialize, mix64
 SHINGLE = 5
 BINS, ROWS = 128, 5
 BANDS = 25
-#: Members of one bucket in a block of the last comparison.
-BLOCK = 2048
+#: Members of one bucket in a block of the last comparison, and about how many shingles they have together.
+BLOCK, BLOCK_SHINGLES = 2048, 1 << 20
 #: For each empty bin the bins to borrow from, in order: attempts of a hash that all documents share.
 ATTEMPTS = 4096
 
@@ -167,41 +165,51 @@ def confirmed(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
     return pairs.select("a", "b").join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
 
 
-def across(members: DataFrame, sets: DataFrame, found: DataFrame, percent: int) -> DataFrame:
-    """(a, b) of one bucket and different components whose set sizes and signatures allow the similarity."""
+def across(members: DataFrame, sets: DataFrame, texts: DataFrame, found: DataFrame, percent: int) -> DataFrame:
+    """Links (a, b) that join components within buckets: of each group of two blocks fewer than it has members."""
     enough = least_equal(percent)
     whose = found.select(F.col("id").alias("k"), F.col("component").alias("c"))
     at = members.select("bucket", "id").join(whose, F.col("id") == F.col("k"), "left").select("bucket", "id", F.coalesce("c", "id").alias("component"))
-    at = materialize(at, "placed")
+    at = materialize(at.join(sets.select("id", "n_shingles"), "id"), "placed")
     # of two members one is the leader, and compared
-    mixed = at.groupBy("bucket").agg(F.count("*").alias("n"), F.min("component").alias("lowest"), F.max("component").alias("highest")).where("n > 2 and lowest != highest")
-    mixed = materialize(mixed.select("bucket", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks")), "mixed")
+    sizes = at.groupBy("bucket").agg(F.count("*").alias("n"), F.sum("n_shingles").alias("weight"), F.min("component").alias("lowest"), F.max("component").alias("highest"))
+    blocks = F.ceil(F.greatest(F.col("n") / BLOCK, F.col("weight") / BLOCK_SHINGLES)).cast("int")
+    mixed = materialize(sizes.where("n > 2 and lowest != highest").select("bucket", blocks.alias("blocks")), "mixed")
     rows = at.join(mixed, "bucket").withColumn("own", F.pmod(F.xxhash64("id", F.lit(7)), F.col("blocks")).cast("int"))
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumns({"i": F.least("own", "other"), "j": F.greatest("own", "other")})
-    rows = rows.join(sets.select("id", "n_shingles", "low"), "id").select("bucket", "i", "j", "own", "id", "component", "n_shingles", "low")
+    rows = rows.join(sets.select("id", "low"), "id").join(texts, "id").select("bucket", "i", "j", "own", "id", "component", "n_shingles", "low", "text")
 
     def compare(table: pa.Table) -> pa.Table:
         i, j = table.column("i")[0].as_py(), table.column("j")[0].as_py()
         own, ids, whole, n = (table.column(c).to_numpy() for c in ("own", "id", "component", "n_shingles"))
+        whole = whole.copy()
         low = np.frombuffer(b"".join(table.column("low").to_pylist()), np.uint8).reshape(-1, BINS)
-        left, right = np.flatnonzero(own == i), np.flatnonzero(own == j)
-        a, b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-        for c in np.unique(whole[left]):
-            # in one block each pair of components is met from both sides
-            inside, others = left[whole[left] == c], right[whole[right] > c] if i == j else right[whole[right] != c]
-            if len(inside) > len(others):
-                inside, others = others, inside
-            for x in inside:
-                near = others[100 * np.minimum(n[others], n[x]) >= percent * np.maximum(n[others], n[x])]
-                near = near[(low[near] == low[x]).sum(1) >= enough]
-                a.append(np.minimum(ids[near], ids[x]))
-                b.append(np.maximum(ids[near], ids[x]))
-        return pa.table({"a": np.concatenate(a), "b": np.concatenate(b)})
-
-    return rows.groupBy("bucket", "i", "j").applyInArrow(compare, "a long, b long").distinct()
-
-
-def grouped(docs: DataFrame, percent: int, rounds: int) -> DataFrame:
+        hashes, known, a, b = WordHashes(), {}, [], []
+
+        def of(k: int) -> np.ndarray:
+            if k not in known:
+                known[k] = shingles(table.column("text")[int(k)].as_py().encode(), hashes)
+            return known[k]
+
+        for x in np.flatnonzero(own == i):
+            others = np.flatnonzero((own == j) & (whole != whole[x]))
+            others = others[100 * np.minimum(n[others], n[x]) >= percent * np.maximum(n[others], n[x])]
+            equal = (low[others] == low[x]).sum(1)
+            others = others[equal >= enough]
+            for y in others[np.argsort(-equal[equal >= enough], kind="stable")]:
+                if whole[x] == whole[y]:  # joined meanwhile
+                    continue
+                both = len(np.intersect1d(of(x), of(y), assume_unique=True))
+                if 100 * both >= percent * (n[x] + n[y] - both):
+                    a.append(ids[x])
+                    b.append(ids[y])
+                    whole[whole == whole[y]] = whole[x]
+        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+
+    return rows.groupBy("bucket", "i", "j").applyInArrow(compare, "a long, b long")
+
+
+def grouped(docs: DataFrame, percent: int) -> DataFrame:
     """A written table (doc_id, digest, n_shingles, component) of every row; component is a node's number, null for empty sets."""
     all_rows = materialize(sketch(docs), "sketches")
     first = F.min(F.struct(F.col("doc_id").isNull().alias("nameless"), "doc_id", "digest"))
@@ -219,57 +227,39 @@ def grouped(docs: DataFrame, percent: int, rounds: int) -> DataFrame:
         texts = materialize(texts.dropDuplicates(["id"]), "texts")
 
     pairs = members.where("id != leader").select(F.col("leader").alias("a"), F.col("id").alias("b")).distinct()
-    tried = []
-
-    def check(pairs: DataFrame) -> DataFrame:
-        tried.append(materialize(plausible(pairs, sets, percent), "pairs"))
-        return confirmed(tried[-1], texts, percent)
-
-    links = materialize(check(pairs), "links")
+    links = materialize(confirmed(materialize(plausible(pairs, sets, percent), "pairs"), texts, percent), "links")
     found = materialize(components(links), "components")
-    reached = members.select("bucket", "id", "leader")
-    for _ in range(1, rounds):
-        # what isn't with its bucket's leader now, elects the next leader
-        whose = found.select(F.col("id").alias("k"), F.col("component").alias("c"))
-        at = reached.join(whose, reached["id"] == F.col("k"), "left").select("bucket", "id", "leader", F.coalesce("c", "id").alias("own"))
-        at = at.join(whose.withColumnsRenamed({"k": "leader", "c": "lc"}), "leader", "left").select("bucket", "id", "own", F.coalesce("lc", "leader").alias("of_leader"))
-        rest = materialize(at.where("own != of_leader").select("bucket", "id", "own"), "rest")
-        elected = rest.groupBy("bucket").agg(F.min(F.struct("id", "own")).alias("first"))
-        elected = materialize(elected.select("bucket", F.col("first.id").alias("leader"), F.col("first.own").alias("of_leader")), "elected")
-        if elected.limit(1).count() == 0:
-            break
-        everyone = members.select("bucket", "id").join(elected, "bucket").join(whose, F.col("id") == F.col("k"), "left")
-        pairs = everyone.where((F.col("id") != F.col("leader")) & (F.coalesce("c", "id") != F.col("of_leader")))
-        pairs = pairs.select(F.least("leader", "id").alias("a"), F.greatest("leader", "id").alias("b")).distinct()
-        new = materialize(check(pairs), "more")
-        reached = rest.select("bucket", "id").join(elected.select("bucket", "leader"), "bucket")
-        if new.limit(1).count() == 0:
-            continue
-        links = links.union(new)
-        found = materialize(components(links), "components")
-    left = materialize(across(members, sets, found, percent), "across")
-    left = materialize(left.join(reduce(DataFrame.union, tried), ["a", "b"], "left_anti"), "untried")
-    if left.limit(1).count():
-        new = materialize(confirmed(left, texts, percent), "last")
-        found = materialize(components(links.union(new)), "components")
+    found = _joined(found, materialize(across(members, sets, texts, found, percent), "across"))
     component = sets.select("id", "set_key").join(found.select("id", "component"), "id", "left").select("set_key", F.coalesce("component", "id").alias("component"))
     component = materialize(component, "by_set")
     return materialize(all_rows.select("doc_id", "digest", "n_shingles", "set_key").join(component, "set_key", "left").drop("set_key"), "grouped")
 
 
-def near_duplicates(docs: DataFrame, percent: int = 85, rounds: int = 4) -> DataFrame:
+def _joined(found: DataFrame, links: DataFrame) -> DataFrame:
+    """Components after more links: those are drawn between components, so only what they join is followed, not all earlier links again."""
+    if links.limit(1).count() == 0:
+        return found
+    of = lambda side: found.select(F.col("id").alias(side), F.col("component").alias(f"c_{side}"))
+    between = links.select("a", "b").join(of("a"), "a", "left").join(of("b"), "b", "left")
+    merged = materialize(components(between.select(F.coalesce("c_a", "a").alias("a"), F.coalesce("c_b", "b").alias("b"))), "merged")
+    new = merged.select(F.col("id").alias("component"), F.col("component").alias("now"))
+    moved = found.join(new, "component", "left").select("id", F.coalesce("now", "component").alias("component"))
+    return materialize(moved.union(merged.join(found.select("id"), "id", "left_anti").select("id", "component")), "components")
+
+
+def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) of every row."""
-    rows = grouped(docs, percent, rounds)
+    rows = grouped(docs, percent)
     names = materialize(rows.where("component is not null").groupBy("component").agg(F.min("doc_id").alias("least")), "names")
     out = rows.join(names, "component", "left").select("doc_id", "n_shingles", F.when(F.col("component").isNull(), F.col("doc_id")).otherwise(F.col("least")).alias("component_id"))
     return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(False)))
 
 
-def keep_one(docs: DataFrame, percent: int = 80, rounds: int = 4) -> DataFrame:
+def keep_one(docs: DataFrame, percent: int = 80) -> DataFrame:
     """One document of each group, with all columns: that with the smallest doc_id, a null one being the largest, and of equal doc_ids that with
     the smallest digest. Of rows with equal doc_id and text one stays. Rows with equal or null doc_ids are documents of their own, so
     none goes without a copy that stays. Documents with empty sets all stay."""
-    rows = grouped(docs, percent, rounds).where("component is not null")
+    rows = grouped(docs, percent).where("component is not null")
     order = F.struct(F.col("doc_id").isNull().alias("nameless"), "doc_id", "digest")
     best = materialize(rows.groupBy("component").agg(F.min(order).alias("best"), F.count("*").alias("n")).where("n > 1"), "best")
     name, digest = (_unused(docs, x) for x in ("_name", "_digest"))
