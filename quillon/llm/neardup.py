@@ -15,8 +15,8 @@ then on the full sets, within a task: members are dealt to blocks of bounded num
 returns only links that join components, fewer than it has members. Every pair that shares a bucket is together or was compared, no pairs are written out and no group is gathered. A
 large group of documents just below the threshold costs the square of its size in comparisons, not in rows.
 
-Signatures drop a candidate that has eight standard deviations fewer equal bins than a pair at the threshold has on average: of a million
-pairs at the threshold, with sets of 5 to 2000 shingles, none was dropped (see the tests for a smaller run).
+Signatures drop a candidate that has eight standard deviations fewer equal bins than a pair at the threshold has on average: of 2,000
+pairs at the threshold, with 5 to 2000 shingles together, none was dropped in the tests.
 
 Null and empty texts, and texts of white space alone, have empty sets and link with nothing. Documents with less than
 five words have one shingle, the sequence of all. Very long texts are read whole. Rows with equal or null doc_ids are each a document; component_id is the
