@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -28,15 +28,17 @@ def either_key(rows: DataFrame, known: dict[str, DataFrame]) -> DataFrame:
 def soft_link(left: DataFrame, right: DataFrame, key: str, place: str, day: str, other_day: str, windows: Sequence[int]) -> DataFrame:
     """Per window of N days: how many left rows have one, several or no right rows of the same place within N days.
 
-    The range condition becomes an equi-join: days are put into bins as wide as the largest window, and a right row goes to its bin and
-    both neighbours, so rows meet only where they can match. All windows are counted in the same pass.
+    No pairs are made. Right rows shrink to a count per place and day, and a running count over a place's days (a row each, however many
+    rows a day has) gives any window as a difference of two values. Left rows look theirs up by place and day; those of one key add up.
     """
-    width = max(1, max(windows))
-    bin_of = lambda c: F.floor(F.unix_date(c) / width)
-    near = right.withColumn("_bin", F.explode(F.array(*(bin_of(F.col(other_day)) + i for i in (-1, 0, 1)))))
-    pairs = left.withColumn("_bin", bin_of(F.col(day))).join(near, [place, "_bin"], "left")
-    gap = F.abs(F.datediff(day, other_day))
-    blocks = pairs.groupBy(key).agg(*(F.count_if(gap <= n).alias(f"b{n}") for n in windows))
+    right_days = right.select(place, F.unix_date(other_day).alias("_day"), F.lit(1).alias("_n"))
+    left_days = left.select(place, F.unix_date(day).alias("_day"), F.lit(0).alias("_n"))
+    counts = right_days.union(left_days).dropna(subset=[place, "_day"]).groupBy(place, "_day").agg(F.sum("_n").alias("_n"))
+    days = Window.partitionBy(place).orderBy("_day")
+    upto = lambda n: F.coalesce(F.sum("_n").over(days.rangeBetween(Window.unboundedPreceding, n)), F.lit(0))
+    sizes = counts.select(place, "_day", *((upto(n) - upto(min(n, -n - 1))).alias(f"b{n}") for n in windows))
+    found = left.select(key, place, F.unix_date(day).alias("_day")).join(sizes, [place, "_day"], "left")
+    blocks = found.groupBy(key).agg(*(F.coalesce(F.sum(f"b{n}"), F.lit(0)).alias(f"b{n}") for n in windows))
     long = blocks.select(F.explode(F.array(*(F.struct(F.lit(n).alias("days"), F.col(f"b{n}").alias("block")) for n in windows))).alias("x")).select("x.*")
     return long.groupBy("days").agg(F.count_if(F.col("block") == 1).alias("unique_links"), F.count_if(F.col("block") > 1).alias("ambiguous"), F.count_if(F.col("block") == 0).alias("none"))
 

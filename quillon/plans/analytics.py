@@ -227,7 +227,7 @@ def softlink_blocks(spark, sf_dir):
     d = tables.debts(spark, sf_dir)
     # two parties of all debts: those of odd and of even firms
     left = d.where("firm_id % 2 = 1").select("debt_id", "segment", "enrolled")
-    right = d.where("firm_id % 2 = 0").select(F.col("debt_id").alias("other"), "segment", F.col("enrolled").alias("day"))
+    right = d.where("firm_id % 2 = 0 AND debt_id IS NOT NULL").select("segment", F.col("enrolled").alias("day"))
     return joins.soft_link(left, right, "debt_id", "segment", "enrolled", "day", (0, 3, 7, 15, 30))
 
 

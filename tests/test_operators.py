@@ -4,9 +4,11 @@ import hashlib
 import hmac
 import math
 
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 
+from quillon import catalog, tables
 from quillon.functions import bands, ids, text
 from quillon.operators import concentration, joins, panel, records, registry, suppress, survival
 from quillon.stats import hypothesis_tests, models, special
@@ -112,6 +114,41 @@ def test_soft_link_equals_brute_force(spark):
         assert got[n] == (blocks.count(1), sum(b > 1 for b in blocks), blocks.count(0))
 
 
+def rows_joined(node):
+    """Rows that the joins of a plan made when it ran."""
+    kind = node.getClass().getSimpleName()
+    below = [node.executedPlan()] if kind == "AdaptiveSparkPlanExec" else [node.plan()] if kind.endswith("QueryStageExec") else [node.children().apply(i) for i in range(node.children().size())]
+    return sum(map(rows_joined, below)) + (node.metrics().apply("numOutputRows").value() if kind.endswith("JoinExec") else 0)
+
+
+def test_soft_link_makes_no_pairs(spark):
+    rows = spark.range(1000).select(F.col("id").alias("k"), F.lit("p").alias("p"), F.date_add(F.lit("2024-01-01").cast("date"), (F.col("id") % 2).cast("int")).alias("d"))
+    out = joins.soft_link(rows, rows.select("p", F.col("d").alias("e")), "k", "p", "d", "e", (0, 3))
+    assert sorted(map(tuple, out.collect())) == [(0, 0, 1000, 0), (3, 0, 1000, 0)]
+    assert rows_joined(out._jdf.queryExecution().executedPlan()) == 1000
+
+
+def test_softlink_blocks_equals_sql_on_odd_rows(spark, tmp_path):
+    """Ids that repeat or are missing, no date, no segment, no firm, firms below 0, days at the ends of the calendar."""
+    import datetime
+    import random
+
+    rng = random.Random(2)
+    days = [None, datetime.datetime(1, 1, 1), datetime.datetime(9999, 12, 31, 23, 59), *(datetime.datetime(2024, 2, 1) + datetime.timedelta(hours=h) for h in range(0, 4000, 37))]
+    orders = [(rng.choice([None, *range(150)]), rng.choice([None, *range(-6, 7)]), "O", 1.0, rng.choice(days), rng.choice([None, "", *"abcdefgh"])) for _ in range(200)]
+    schema = "o_orderkey long, o_custkey long, o_orderstatus string, o_totalprice double, o_orderdate timestamp_ntz, o_orderpriority string"
+    lonely = [(1, 1, "O", 1.0, days[9], "a"), (2, 1, "O", 1.0, days[9], "b"), (None, 2, "O", 1.0, days[9], "a"), (3, 2, "O", 1.0, days[9], "b")]
+    for name, rows in (("odd", orders), ("lonely", lonely), ("left", lonely[:2]), ("right", lonely[2:])):
+        spark.createDataFrame(rows, schema).coalesce(1).write.parquet(f"{tmp_path}/{name}/orders.parquet")
+        duck = duckdb.connect()
+        for t in tables.NAMES:
+            at = f"{tmp_path}/{name}/orders.parquet/*.parquet" if t == "orders" else f"/root/testdata/sf0.001/{t}.parquet"
+            duck.sql(f"CREATE VIEW {t} AS SELECT * FROM '{at}'")
+        want = duck.sql(catalog.oracles()["softlink_blocks"])
+        got = catalog.queries()["softlink_blocks"](spark, f"{tmp_path}/{name}").select(*want.columns)
+        assert sorted(map(tuple, got.collect())) == sorted(want.fetchall()), name
+
+
 def test_redaction_settles_overlaps(spark):
     assert records.resolve_spans([(0, 3, 1, "a"), (0, 5, 2, "b"), (4, 9, 0, "c"), (5, 6, 0, "d")]) == [(0, 5, 2, "b"), (5, 6, 0, "d")]
     df = spark.createDataFrame([(1, "Ana Lima, id 12345678901, of Lima Motors Ltda", ["Ana Lima", "Lima"]), (2, None, None)], "id int, t string, names array<string>")
